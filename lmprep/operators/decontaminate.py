@@ -10,7 +10,7 @@ from lmprep.cluster import BROADCAST_ROWS, broadcast_within, reliable
 
 def normalized_words(text: Column) -> Column:
     """Lower-case words without punctuation."""
-    words = F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]", ""), r"\s+")
+    words = F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N} \t\n\r\f]", ""), r"[ \t\n\r\f]+")
     return F.filter(words, lambda w: w != "")
 
 

@@ -17,7 +17,7 @@ def _picked(scores: DataFrame, value: Column, keys: Sequence[str]) -> DataFrame:
     """Best choice per item; the lowest index wins a tie."""
     best = F.max(F.struct(value.alias("v"), (-F.col("choice_idx")).alias("i")))
     return scores.groupBy(*keys).agg(
-        (-best["i"]).alias("picked"), F.first("gold").alias("gold")
+        (-best["i"]).alias("picked"), F.max("gold").alias("gold")
     ).withColumn("correct", (F.col("picked") == F.col("gold")).cast("double"))
 
 
@@ -42,7 +42,7 @@ def group_scores(task_scores: DataFrame, group: str = "group", task: str = "task
 
 
 def tokenize_13a(text: Column) -> Column:
-    """Published WMT 13a tokenization, without its XML entities' edge cases."""
+    """The published 13a tokenization."""
     # Replacement rules of the 13a tokenizer, in order.
     rules = [
         ("<skipped>", ""),
@@ -62,7 +62,7 @@ def tokenize_13a(text: Column) -> Column:
         if i == 7:
             padded = F.concat(F.lit(" "), padded, F.lit(" "))
         padded = F.regexp_replace(padded, pattern, replacement)
-    return F.filter(F.split(padded, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(padded, f"[{PY_WHITESPACE}]+"), lambda w: w != "")
 
 
 def _char_grams(text: Column, order: int) -> Column:
@@ -77,7 +77,7 @@ def _word_grams(words: Column, order: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(order)), " "))
 
 
-def _overlap_sums(pairs: DataFrame, orders: int, grams, group: Sequence[str], size: Column) -> DataFrame:
+def _overlap_sums(pairs: DataFrame, orders: int, grams, group: Sequence[str]) -> DataFrame:
     """Per group and order: clipped matches, prediction and target n-grams.
 
     Rows are placed by row id once; the n-gram counts, the clipping and the sum per row then
@@ -136,7 +136,7 @@ def corpus_chrf(
         return F.translate(F.col(column), PY_WHITESPACE, "")
 
     pairs = _numbered(df, key, bare(prediction), bare(target), group).withColumnsRenamed({"_pt": "_p", "_tt": "_t"})
-    sums = _per_order(_overlap_sums(pairs, orders, _char_grams, group, F.length("_p")), group, orders)
+    sums = _per_order(_overlap_sums(pairs, orders, _char_grams, group), group, orders)
     precision, recall, used = F.lit(0.0), F.lit(0.0), F.lit(0)
     for order in range(1, orders + 1):
         m, p, t = (F.col(f"{x}_{order}") for x in ("matches", "n_pred", "n_target"))
@@ -160,7 +160,7 @@ def corpus_bleu(
     pairs = _numbered(df, key, F.col(prediction), F.col(target), group).select(
         *group, "_row", tokenize_13a(F.col("_pt")).alias("_p"), tokenize_13a(F.col("_tt")).alias("_t")
     )
-    sums = _per_order(_overlap_sums(pairs, orders, _word_grams, group, F.size("_p")), group, orders)
+    sums = _per_order(_overlap_sums(pairs, orders, _word_grams, group), group, orders)
     logs, misses = F.lit(0.0), F.lit(0)
     matched, complete = F.lit(0.0), F.lit(True)
     for order in range(1, orders + 1):

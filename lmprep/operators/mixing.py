@@ -58,7 +58,7 @@ def _schedule(spark: SparkSession, n_steps: int, bounds: Sequence[str], seed: in
     tasks = min(blocks, shuffle_partitions(spark))
 
     def draw(step: Column) -> Column:
-        return F.struct(step.alias("step"), _pick(seeded_hex(seed, step), bounds).alias("source_no"))
+        return F.struct(step.alias("step"), seeded_hex(seed, step).alias("hex"))
 
     first = F.col("block") * F.lit(block_steps)
     end = F.least(first + F.lit(block_steps), F.lit(n_steps).cast("long"))
@@ -70,7 +70,7 @@ def _schedule(spark: SparkSession, n_steps: int, bounds: Sequence[str], seed: in
         .repartition(tasks, "block")
         .select("block", runs)
         .select("block", F.explode(F.transform(F.sequence(F.col("_run"), run_end), draw)).alias("_d"))
-        .select("block", "_d.step", "_d.source_no")
+        .select("block", "_d.step", _pick(F.col("_d.hex"), bounds).alias("source_no"))
     )
     before = Window.partitionBy("source_no").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = drawn.groupBy("block", "source_no").agg(F.count("*").alias("_n"))
