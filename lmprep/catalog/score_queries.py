@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import functions as F
 
 from lmprep.catalog import fixtures as fx
@@ -73,7 +75,7 @@ SELECT grp, round(100 * 5 * pr * re / (4 * pr + re), 6) AS chrf FROM a
 
 @query("f5_corpus_chrf", _SQL_CHRF)
 def f5(spark, sf):
-    scored = metrics.corpus_chrf(fx.translation_scores(spark, sf), ["conv_id", "turn"], ["grp"])
+    scored = metrics.corpus_chrf(fx.translation_scores(spark, sf), ["grp"])
     return scored.withColumn("chrf", F.round("chrf", 6))
 
 
@@ -113,7 +115,7 @@ SELECT grp, round(CASE WHEN orders < 4 OR matched = 0 THEN 0
 
 @query("f6_corpus_bleu", _SQL_BLEU)
 def f6(spark, sf):
-    scored = metrics.corpus_bleu(fx.translation_scores(spark, sf), ["conv_id", "turn"], ["grp"])
+    scored = metrics.corpus_bleu(fx.translation_scores(spark, sf), ["grp"])
     return scored.withColumn("bleu", F.round("bleu", 6))
 
 
@@ -211,8 +213,8 @@ def g4(spark, sf):
 
 
 _SQL_WORDS = (
-    r"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N} \t\n\r\f]', '', 'g'), "
-    r"'[ \t\n\r\f]+'), lambda w: w <> '')"
+    "list_filter(string_split(translate(lower(text), "
+    f"chr(9) || chr(10) || chr(13) || chr(12) || {fx.quoted(string.punctuation)}, '    '), ' '), lambda w: w <> '')"
 )
 
 

@@ -49,8 +49,10 @@ x AS (SELECT conv_id, ids[1:n] AS ids, labels[1:n] AS labels, n FROM s JOIN n US
 """
 
 
-def chat_examples(spark, sf):
+def chat_examples(spark, sf, batch_size=None):
     convs = fx.conversations(spark, sf, max_len=MAX_LEN)
+    if batch_size:
+        convs = batching.make_batches(convs, batch_size, "conv_id")
     return labels.mask_chat_labels(convs, fx.TOK, MAX_LEN).drop("messages")
 
 
@@ -124,8 +126,8 @@ SELECT conv_id, batch_id, {fx.sql_joined(f"ids || {fx.sql_repeat(0, 'width - n')
 """,
 )
 def d8(spark, sf):
-    batches = batching.make_batches(chat_examples(spark, sf), BATCH, "conv_id")
-    return shown(batching.pad_batch_longest(batches, "conv_id", fx.TOK.pad_id), "conv_id", "batch_id")
+    padded = batching.pad_batch_longest(chat_examples(spark, sf, BATCH), fx.TOK.pad_id)
+    return shown(padded, "conv_id", "batch_id")
 
 
 @query(
@@ -141,10 +143,10 @@ SELECT conv_id, batch_id, {fx.sql_joined(f"{fx.sql_repeat(0, 'width - n')} || id
 def d9(spark, sf):
     from lmprep.functions.chat import chat_generation_prompt
 
-    prompts = fx.conversations(spark, sf).select(
-        "conv_id", fx.TOK.encode(chat_generation_prompt(F.col("messages"))).alias("input_ids")
+    prompts = batching.make_batches(fx.conversations(spark, sf), BATCH, "conv_id").select(
+        "conv_id", "batch_id", fx.TOK.encode(chat_generation_prompt(F.col("messages"))).alias("input_ids")
     )
-    padded = batching.pad_batch_left(batching.make_batches(prompts, BATCH, "conv_id"), "conv_id", 0)
+    padded = batching.pad_batch_left(prompts, 0)
     return padded.select(
         "conv_id", "batch_id", fx.joined("input_ids").alias("input_ids"), fx.joined("attention_mask").alias("attention_mask")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Row bound under which a narrow helper table may be broadcast.
@@ -44,3 +44,26 @@ def broadcast_within(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> D
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of all inputs of a plan, by the optimizer's estimates."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def spread_small(df: DataFrame, limit_bytes: int = 1 << 30) -> DataFrame:
+    """Give every core a share of a small input before CPU-heavy work.
+
+    A small table can be one row group, hence one task. Past ``limit_bytes`` of input the scan has tasks
+    enough and nothing is moved.
+    """
+    if input_bytes(df) > limit_bytes:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def once(value: Column) -> Column:
+    """For ``select``: a generator over one value. The optimizer copies a plain projection into every
+    expression that reads it; a costly value read more than once is computed once behind this."""
+    return F.explode(F.array(value))

@@ -38,21 +38,14 @@ def make_batches(
     return df.join(batch_keys(df.select(*order), batch_size, order, drop_last), order)
 
 
-def _batch_width(df: DataFrame, order: list[str], ids: str, multiple: int) -> DataFrame:
-    """Target length per row, worked out on (key, batch, size) alone."""
-    sizes = df.select(*order, "batch_id", F.size(ids).alias("_size"))
-    width = round_up(F.max("_size").over(Window.partitionBy("batch_id")), multiple)
-    return sizes.withColumn("_width", width).select(*order, "_width")
-
-
-def _widened(df: DataFrame, order_key: str | Sequence[str], ids: str, multiple: int) -> DataFrame:
-    order = _order(order_key)
-    return df.join(_batch_width(df, order, ids, multiple), order)
+def _widened(df: DataFrame, ids: str, multiple: int) -> DataFrame:
+    """Add the target length; a window over one batch is bounded by the batch size."""
+    longest = F.max(F.size(ids)).over(Window.partitionBy("batch_id"))
+    return df.withColumn("_width", round_up(longest, multiple))
 
 
 def pad_batch_longest(
     df: DataFrame,
-    order_key: str | Sequence[str],
     pad_id: int,
     multiple: int = 8,
     ids: str = "input_ids",
@@ -60,7 +53,7 @@ def pad_batch_longest(
     mask: str | None = "attention_mask",
 ) -> DataFrame:
     """Right-pad every row of a batch to the longest, rounded up to ``multiple``."""
-    wide = _widened(df, order_key, ids, multiple)
+    wide = _widened(df, ids, multiple)
     width, padded = F.col("_width"), {}
     padded[ids] = pad_right(F.col(ids), width, pad_id)
     if labels:
@@ -70,11 +63,9 @@ def pad_batch_longest(
     return wide.withColumns(padded).drop("_width")
 
 
-def pad_batch_left(
-    df: DataFrame, order_key: str | Sequence[str], pad_id: int = 0, ids: str = "input_ids"
-) -> DataFrame:
+def pad_batch_left(df: DataFrame, pad_id: int = 0, ids: str = "input_ids") -> DataFrame:
     """Left-pad every row of a batch to the longest, as generation needs it. Adds the mask."""
-    wide = _widened(df, order_key, ids, 1)
+    wide = _widened(df, ids, 1)
     real = F.array_repeat(F.lit(1), F.size(ids))
     return wide.withColumns(
         {"attention_mask": pad_left(real, F.col("_width"), 0), ids: pad_left(F.col(ids), F.col("_width"), pad_id)}

@@ -2,33 +2,29 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lmprep.cluster import BROADCAST_ROWS, broadcast_within, reliable
+from lmprep.cluster import BROADCAST_ROWS, broadcast_within, once, reliable, spread_small
 
 
-def normalized_words(text: Column) -> Column:
-    """Lower-case words without punctuation."""
-    words = F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N} \t\n\r\f]", ""), r"[ \t\n\r\f]+")
-    return F.filter(words, lambda w: w != "")
+_SPACES = "\t\n\r\f"
 
 
-def word_ngrams(words: Column, n: int) -> Column:
-    """Distinct word n-grams; none when the text is shorter than ``n`` words."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")))
+def normalized_words(text: Column) -> Column:
+    """Lower-case words without ASCII punctuation."""
+    plain = F.translate(F.lower(text), _SPACES + string.punctuation, " " * len(_SPACES))
+    return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
 def _exploded(df: DataFrame, text: str, n: int, *keep: str) -> DataFrame:
-    worded = df.select(*keep, normalized_words(F.col(text)).alias("_w"))
-    # the generator keeps the word array below it, so the words are split once per document
-    starts = F.explode(F.sequence(F.lit(1), F.size("_w") - (n - 1))).alias("_i")
+    """One row per word n-gram; a text shorter than ``n`` words has none."""
+    worded = df.select(*keep, once(normalized_words(F.col(text))).alias("_w"))
+    starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - (n - 1)))
     return (
-        worded.where(F.size("_w") >= n)
-        .select(*keep, "_w", starts)
+        worded.select(*keep, "_w", F.explode(starts).alias("_i"))
         .select(*keep, F.array_join(F.slice("_w", F.col("_i"), F.lit(n)), " ").alias("_gram"))
     )
 
@@ -45,7 +41,7 @@ def contaminated_keys(
     """
     grams = reliable(_exploded(queries, query, n).distinct())
     size = grams.count()
-    train_grams = _exploded(train, text, n, key)
+    train_grams = _exploded(spread_small(train.select(key, text)), text, n, key)
     if size > limit:
         train_grams = train_grams.distinct()
     return train_grams.join(broadcast_within(grams, size, limit), ["_gram"], "left_semi").select(key).distinct()

@@ -37,7 +37,8 @@ def _mask_by_segments(df: DataFrame, tok: Tokenizer, max_len: int, messages: str
         opened_by_other = (i > 0) & (before != "assistant")
         return F.struct(
             tok.encode(message_header(role), specials=False).alias("head"),
-            tok.encode(message_body(role, message["content"], tok.eos), specials=False).alias("body"),
+            # a body cut at max_len fills the row by itself, so nothing after the cut is ever kept
+            tok.encode(message_body(role, message["content"], tok.eos), max_len, specials=False).alias("body"),
             (~learned | opened_by_other).alias("head_masked"),
             (~learned).alias("body_masked"),
         )

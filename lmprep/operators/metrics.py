@@ -5,11 +5,14 @@ Corpus scores only ever add up sums per group, so map-side partial aggregation c
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lmprep.cluster import spread_small
 from lmprep.functions.text import PY_WHITESPACE
 
 
@@ -65,78 +68,53 @@ def tokenize_13a(text: Column) -> Column:
     return F.filter(F.split(padded, f"[{PY_WHITESPACE}]+"), lambda w: w != "")
 
 
-def _char_grams(text: Column, order: int) -> Column:
-    n = F.length(text)
-    starts = F.when(n >= order, F.sequence(F.lit(1), n - (order - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(text, i, F.lit(order)))
+def _overlap(orders: int):
+    """Per row: clipped matches, prediction n-grams and target n-grams of every order, one after another.
 
+    A unit is a character of a string or a word of an array. Counting inside the row keeps the texts where they
+    are: only ``3 * orders`` sums per row go on to the aggregation.
+    """
 
-def _word_grams(words: Column, order: int) -> Column:
-    n = F.size(words)
-    starts = F.when(n >= order, F.sequence(F.lit(1), n - (order - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(order)), " "))
+    def grams(units, n: int) -> Counter:
+        if isinstance(units, str):
+            return Counter(units[i : i + n] for i in range(len(units) - n + 1))
+        return Counter(zip(*(units[i:] for i in range(n))))
 
+    def sums(prediction, target) -> list[int]:
+        out = []
+        for n in range(1, orders + 1):
+            p, t = grams(prediction, n), grams(target, n)
+            out += [sum(min(k, t[g]) for g, k in p.items() if g in t), p.total(), t.total()]
+        return out
 
-def _overlap_sums(pairs: DataFrame, orders: int, grams, group: Sequence[str]) -> DataFrame:
-    """Per group and order: clipped matches, prediction and target n-grams.
+    @F.pandas_udf("array<long>")
+    def overlap(prediction: pd.Series, target: pd.Series) -> pd.Series:
+        return pd.Series([sums(p, t) for p, t in zip(prediction, target)], dtype=object)
 
-    Rows are placed by row id once; the n-gram counts, the clipping and the sum per row then
-    all happen inside that partitioning, and the group sums are partial before they move.
-    """
-    sides = F.explode(
-        F.array(
-            F.struct(F.lit(1).alias("sign"), F.col("_p").alias("unit")),
-            F.struct(F.lit(-1).alias("sign"), F.col("_t").alias("unit")),
-        )
-    ).alias("_s")
-    per_order = F.explode(F.sequence(F.lit(1), F.lit(orders))).alias("_order")
-    grams_of = F.lit(None)
-    for order in range(orders, 0, -1):
-        grams_of = F.when(F.col("_order") == order, grams(F.col("_s.unit"), order)).otherwise(grams_of)
-    exploded = (
-        pairs.select(*group, "_row", sides)
-        .select(*group, "_row", "_s", per_order)
-        .select(*group, "_row", "_order", F.col("_s.sign").alias("_sign"), F.explode(grams_of).alias("_gram"))
-    )
-    predicted = F.count(F.when(F.col("_sign") == 1, True)).alias("_np")
-    target = F.count(F.when(F.col("_sign") == -1, True)).alias("_nt")
-    counted = exploded.groupBy(*group, "_row", "_order", "_gram").agg(predicted, target)
-    return counted.groupBy(*group, "_order").agg(
-        F.sum(F.least("_np", "_nt")).alias("matches"),
-        F.sum("_np").alias("n_pred"),
-        F.sum("_nt").alias("n_target"),
-    )
+    return overlap
 
 
-def _numbered(df: DataFrame, key: Sequence[str], prediction: Column, target: Column, group: Sequence[str]) -> DataFrame:
-    row = F.struct(*key)
-    return df.select(
-        *group, row.alias("_row"), F.coalesce(prediction, F.lit("")).alias("_pt"), F.coalesce(target, F.lit("")).alias("_tt")
-    ).repartition("_row")
-
-
-def _per_order(sums: DataFrame, group: Sequence[str], orders: int) -> DataFrame:
+def _order_sums(df: DataFrame, prediction: Column, target: Column, orders: int, group: Sequence[str]) -> DataFrame:
     """One row per group with the sums of every order as columns."""
-    columns = []
-    for order in range(1, orders + 1):
-        for name in ("matches", "n_pred", "n_target"):
-            value = F.sum(F.when(F.col("_order") == order, F.col(name)))
-            columns.append(F.coalesce(value, F.lit(0)).cast("double").alias(f"{name}_{order}"))
-    return sums.groupBy(*group).agg(*columns)
+    small = spread_small(df.select(*group, prediction.alias("_p"), target.alias("_t")))
+    counted = small.select(*group, _overlap(orders)("_p", "_t").alias("_o"))
+    names = [f"{name}_{order}" for order in range(1, orders + 1) for name in ("matches", "n_pred", "n_target")]
+    return counted.groupBy(*group).agg(
+        *(F.coalesce(F.sum(F.get("_o", F.lit(i))), F.lit(0)).cast("double").alias(n) for i, n in enumerate(names))
+    )
 
 
 def corpus_chrf(
-    df: DataFrame, key: Sequence[str], group: Sequence[str] = (), prediction: str = "prediction",
-    target: str = "target", orders: int = 6, beta: float = 2.0,
+    df: DataFrame, group: Sequence[str] = (), prediction: str = "prediction", target: str = "target",
+    orders: int = 6, beta: float = 2.0,
 ) -> DataFrame:
-    """Character n-gram F score of whole groups. ``key`` identifies a row."""
+    """Character n-gram F score of whole groups."""
     group = list(group)
 
     def bare(column: str) -> Column:
-        return F.translate(F.col(column), PY_WHITESPACE, "")
+        return F.translate(F.coalesce(column, F.lit("")), PY_WHITESPACE, "")
 
-    pairs = _numbered(df, key, bare(prediction), bare(target), group).withColumnsRenamed({"_pt": "_p", "_tt": "_t"})
-    sums = _per_order(_overlap_sums(pairs, orders, _char_grams, group), group, orders)
+    sums = _order_sums(df, bare(prediction), bare(target), orders, group)
     precision, recall, used = F.lit(0.0), F.lit(0.0), F.lit(0)
     for order in range(1, orders + 1):
         m, p, t = (F.col(f"{x}_{order}") for x in ("matches", "n_pred", "n_target"))
@@ -148,19 +126,19 @@ def corpus_chrf(
     p, r = F.try_divide("_ps", "_u"), F.try_divide("_rs", "_u")
     weight = beta**2
     score = F.try_divide((1 + weight) * p * r, weight * p + r) * 100
-    return _with_all_groups(df, scored.select(*group, F.coalesce(score, F.lit(0.0)).alias("chrf")), group, "chrf")
+    return scored.select(*group, F.coalesce(score, F.lit(0.0)).alias("chrf"))
 
 
 def corpus_bleu(
-    df: DataFrame, key: Sequence[str], group: Sequence[str] = (), prediction: str = "prediction",
-    target: str = "target", orders: int = 4,
+    df: DataFrame, group: Sequence[str] = (), prediction: str = "prediction", target: str = "target", orders: int = 4
 ) -> DataFrame:
     """BLEU of whole groups: 13a words, brevity penalty, exponential smoothing of empty orders."""
     group = list(group)
-    pairs = _numbered(df, key, F.col(prediction), F.col(target), group).select(
-        *group, "_row", tokenize_13a(F.col("_pt")).alias("_p"), tokenize_13a(F.col("_tt")).alias("_t")
-    )
-    sums = _per_order(_overlap_sums(pairs, orders, _word_grams, group), group, orders)
+
+    def words(column: str) -> Column:
+        return tokenize_13a(F.coalesce(column, F.lit("")))
+
+    sums = _order_sums(df, words(prediction), words(target), orders, group)
     logs, misses = F.lit(0.0), F.lit(0)
     matched, complete = F.lit(0.0), F.lit(True)
     for order in range(1, orders + 1):
@@ -173,12 +151,4 @@ def corpus_bleu(
     c, r = F.col("n_pred_1"), F.col("n_target_1")
     penalty = F.when(c > r, 1.0).otherwise(F.exp(1 - F.try_divide(r, c)))
     score = F.when(complete & (matched > 0), 100 * penalty * F.exp(logs / orders)).otherwise(0.0)
-    return _with_all_groups(df, sums.select(*group, F.coalesce(score, F.lit(0.0)).alias("bleu")), group, "bleu")
-
-
-def _with_all_groups(df: DataFrame, scores: DataFrame, group: list[str], name: str) -> DataFrame:
-    """Groups whose rows hold no n-gram at all score 0 rather than vanish."""
-    if not group:
-        return scores
-    groups = df.select(*group).distinct()
-    return groups.join(scores, group, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    return sums.select(*group, F.coalesce(score, F.lit(0.0)).alias("bleu"))

@@ -178,16 +178,16 @@ def assign_buffers(
     fan_in: int = FAN_IN,
 ) -> DataFrame:
     """Add ``buffer_id`` to ``(shard, order_key, n_chars, ...)`` rows by the greedy rule."""
-    indexed = reliable(index_keys(meta, [order_key], ["shard"], "_idx"))
-    indexed = indexed.withColumn("_block", F.floor(F.col("_idx") / block_rows).cast("long"))
-    last = indexed.agg(F.max("_block")).first()[0]
-    if last is None:
+    indexed = index_keys(meta, [order_key], ["shard"], "_idx").withColumn(
+        "_block", F.floor(F.col("_idx") / block_rows).cast("long")
+    )
+    last_block, last_shard = indexed.agg(F.max("_block"), F.max("shard")).first()
+    if last_block is None:
         return meta.withColumn("buffer_id", F.lit(0).cast("long"))
-    n_blocks = last + 1
+    n_blocks, shards = last_block + 1, last_shard + 1
 
     if n_blocks > 1:
         entries = _block_entries(indexed, n_blocks, limit, fan_in).withColumnRenamed("node", "_block")
-        shards = indexed.agg(F.max("shard")).first()[0] + 1
         placed = indexed.join(broadcast_within(entries, n_blocks * shards), ["shard", "_block"])
     else:
         placed = indexed.withColumn("carried", F.lit(0).cast("long")).withColumn("buffer_no", F.lit(0).cast("long"))
@@ -231,7 +231,8 @@ def _place(meta: DataFrame, order_key: str, seq_len: int) -> DataFrame:
 def _cut(docs: DataFrame, ids: Column, placed: DataFrame, order_key: str, seq_len: int) -> DataFrame:
     """One row per (document, chunk) with that part of the tokens, then one row per chunk.
 
-    ``ids`` is evaluated after the join, so text and not its four times wider ids is shuffled by key.
+    ``ids`` is evaluated after the join, so text and not its four times wider ids is shuffled by key. The
+    merge hint keeps the texts out of a broadcast when they look small.
     """
     spans = placed.select(
         order_key,
@@ -246,7 +247,7 @@ def _cut(docs: DataFrame, ids: Column, placed: DataFrame, order_key: str, seq_le
     chunk_start = F.col("chunk_id") * seq_len
     skipped = F.greatest(chunk_start - F.col("_offset"), F.lit(0))
     parts = (
-        docs.join(spans, [order_key])
+        docs.join(spans.hint("merge"), [order_key])
         .select("shard", "buffer_id", "_offset", "_from", "_to", ids.alias("_ids"))
         .select("shard", "buffer_id", "_offset", "_ids", F.explode(F.sequence("_from", "_to")).alias("chunk_id"))
         .select(
