@@ -303,7 +303,8 @@ def pack_documents(
         docs = reliable(docs.select(order_key, F.length("_text").cast("long").alias("n_chars"), ids.alias("_ids")))
         ids = F.col("_ids")
         counted = docs.select(order_key, "n_chars", F.size("_ids").cast("long").alias("n_tokens"))
-    meta = counted.withColumn("shard", hash_shard(F.col(order_key), shards))
+    # written first: range sorting samples its input, which must not be a second pass over the texts
+    meta = reliable(counted.withColumn("shard", hash_shard(F.col(order_key), shards)))
     limit = seq_len * chars_per_token * num_sequences
     assigned = assign_buffers(meta, limit, order_key, block_rows, fan_in)
     placed = reliable(_place(assigned, order_key, seq_len))
