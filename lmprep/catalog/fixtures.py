@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lmprep.cluster import ensure_checkpoint_dir
+from lmprep.cluster import ensure_checkpoint_dir, spread_small
 from lmprep.functions.templates import DEFAULT_PROMPTS, TOPICS
 from lmprep.functions.text import PY_WHITESPACE
 from lmprep.functions.tokenizers import CodepointTokenizer
@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for work that costs far more than the scan."""
+    return spread_small(table(spark, sf_dir, name).select(*columns))
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, for queries that write and read back."""
     return f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -98,9 +103,14 @@ def translation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Checkers compare strings; a benchmark measures the operators alone and sets this to False.
+JOIN_ARRAYS = True
+
+
 def joined(ids: Column | str) -> Column:
     """Token array as one string, so that any checker can compare it."""
-    return F.array_join(F.col(ids).cast("array<string>") if isinstance(ids, str) else ids.cast("array<string>"), " ")
+    ids = F.col(ids) if isinstance(ids, str) else ids
+    return F.array_join(ids.cast("array<string>"), " ") if JOIN_ARRAYS else ids
 
 
 # ---- SQL ---------------------------------------------------------------------------------------

@@ -288,12 +288,12 @@ def j1(spark, sf):
 
 @query(
     "j2_stream_pack",
-    f"{_sql_packed(LIMIT, shards=3)} SELECT shard, buffer_id, chunk_id, {fx.sql_joined('ids')} AS input_ids FROM c",
+    f"{_sql_packed(LIMIT, shards=8)} SELECT shard, buffer_id, chunk_id, {fx.sql_joined('ids')} AS input_ids FROM c",
 )
 def j2(spark, sf):
     path = f"{sf}/documents.parquet"
     arriving = read_arriving(spark, f"{sf}/documents*.parquet", spark.read.parquet(path).schema)
-    chunks = stream_pack(arriving, fx.TOK, SEQ_LEN, NUM_SEQUENCES, chars_per_token=1.0, shards=3)
+    chunks = stream_pack(arriving, fx.TOK, SEQ_LEN, NUM_SEQUENCES, chars_per_token=1.0, shards=8)
     return _drained(spark, chunks, "stream-pack").withColumn("input_ids", fx.joined("input_ids"))
 
 
@@ -310,7 +310,7 @@ def last_words(prompts: list[str], **options) -> list[str]:
     "SELECT doc_id, (length(text) + 1)::INTEGER AS n_ids, (length(text) + 1)::INTEGER AS n_counted, text AS decoded FROM documents",
 )
 def k1(spark, sf):
-    ids = fx.table(spark, sf, "documents").select("doc_id", "text", fx.TOK.encode(F.col("text")).alias("ids"))
+    ids = fx.spread(spark, sf, "documents", "doc_id", "text").select("doc_id", "text", fx.TOK.encode(F.col("text")).alias("ids"))
     return ids.select(
         "doc_id", F.size("ids").alias("n_ids"), fx.TOK.count(F.col("text")).alias("n_counted"),
         fx.TOK.decode(F.col("ids")).alias("decoded"),

@@ -40,7 +40,7 @@ def a5(spark, sf):
 @query("a6_read_pretokenized", f"SELECT doc_id, {fx.sql_joined(fx.sql_ids('text'))} AS input_ids FROM documents")
 def a6(spark, sf):
     path = fx.scratch(spark, "pretokenized")
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.spread(spark, sf, "documents", "doc_id", "text")
     writers.materialize(docs.select("doc_id", fx.TOK.encode(F.col("text")).alias("input_ids")), path)
     return readers.read_pretokenized(spark, path).withColumn("input_ids", fx.joined("input_ids"))
 
@@ -249,7 +249,7 @@ _SQL_NORMAL = fx.sql_strip(
 
 @query("c9_normalize_prediction", f"SELECT doc_id, {_SQL_NORMAL} AS normalized FROM documents")
 def c9(spark, sf):
-    return fx.table(spark, sf, "documents").select(
+    return fx.spread(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", text.normalize_prediction(F.col("text")).alias("normalized")
     )
 

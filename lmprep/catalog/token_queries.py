@@ -22,7 +22,7 @@ BATCH = 8
 
 @query("d1_tokenize", f"SELECT doc_id, {fx.sql_joined(fx.sql_ids('text'))} AS input_ids FROM documents")
 def d1(spark, sf):
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.spread(spark, sf, "documents", "doc_id", "text")
     return docs.select("doc_id", fx.joined(fx.TOK.encode(F.col("text"))).alias("input_ids"))
 
 
@@ -79,7 +79,7 @@ _SQL_CUT = f"SELECT doc_id, {fx.sql_ids('text')}[1:{MAX_LEN}] AS ids FROM docume
 
 
 def cut_docs(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", fx.TOK.encode(F.col("text"), MAX_LEN).alias("ids"))
+    return fx.spread(spark, sf, "documents", "doc_id", "text").select("doc_id", fx.TOK.encode(F.col("text"), MAX_LEN).alias("ids"))
 
 
 @query(
@@ -176,7 +176,7 @@ def d10(spark, sf):
 
 @query("d11_decode", "SELECT doc_id, text FROM documents")
 def d11(spark, sf):
-    ids = fx.table(spark, sf, "documents").select("doc_id", fx.TOK.encode(F.col("text")).alias("ids"))
+    ids = fx.spread(spark, sf, "documents", "doc_id", "text").select("doc_id", fx.TOK.encode(F.col("text")).alias("ids"))
     return ids.select("doc_id", fx.TOK.decode(F.col("ids")).alias("text"))
 
 

@@ -140,7 +140,7 @@ def mix_sources(
     weights = mix_probabilities(probs, len(names))
     number = F.create_map(*(F.lit(x) for i, name in enumerate(names) for x in (name, i)))
     indexed = index_keys(combined.select("source", order_key), [order_key], ["source"], "_idx")
-    sizes = {r["source"]: r["n"] for r in indexed.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["source"]: r["n"] for r in combined.groupBy("source").agg(F.count("*").alias("n")).collect()}
     rows = [sizes.get(name, 0) for name in names]
     schedule, n_steps = plan_mixture(combined.sparkSession, rows, weights, seed, stop)
 

@@ -174,18 +174,18 @@ def assign_buffers(
     meta: DataFrame,
     limit: float,
     order_key: str,
+    shards: int = 1,
     block_rows: int = BLOCK_ROWS,
     fan_in: int = FAN_IN,
 ) -> DataFrame:
-    """Add ``buffer_id`` to ``(shard, order_key, n_chars, ...)`` rows by the greedy rule."""
+    """Add ``buffer_id`` to ``(shard, order_key, n_chars, ...)`` rows by the greedy rule.
+
+    ``meta`` is read more than once, so it should be a written table.
+    """
     indexed = index_keys(meta, [order_key], ["shard"], "_idx").withColumn(
         "_block", F.floor(F.col("_idx") / block_rows).cast("long")
     )
-    last_block, last_shard = indexed.agg(F.max("_block"), F.max("shard")).first()
-    if last_block is None:
-        return meta.withColumn("buffer_id", F.lit(0).cast("long"))
-    n_blocks, shards = last_block + 1, last_shard + 1
-
+    n_blocks = 1 if meta.count() <= block_rows else indexed.agg(F.max("_block")).first()[0] + 1
     if n_blocks > 1:
         entries = _block_entries(indexed, n_blocks, limit, fan_in).withColumnRenamed("node", "_block")
         placed = indexed.join(broadcast_within(entries, n_blocks * shards), ["shard", "_block"])
@@ -306,7 +306,7 @@ def pack_documents(
     # written first: range sorting samples its input, which must not be a second pass over the texts
     meta = reliable(counted.withColumn("shard", hash_shard(F.col(order_key), shards)))
     limit = seq_len * chars_per_token * num_sequences
-    assigned = assign_buffers(meta, limit, order_key, block_rows, fan_in)
+    assigned = assign_buffers(meta, limit, order_key, shards, block_rows, fan_in)
     placed = reliable(_place(assigned, order_key, seq_len))
     buffers = placed.groupBy("shard", "buffer_id").agg(
         F.count("*").alias("n_documents"),
