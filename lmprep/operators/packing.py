@@ -23,6 +23,7 @@ from lmprep.cluster import broadcast_within, reliable
 from lmprep.functions.text import hash_shard, seeded_order
 from lmprep.functions.tokenizers import Tokenizer, concat_id
 from lmprep.operators.indexing import index_keys
+from lmprep.operators.sampling import head
 
 BLOCK_ROWS = 262_144
 FAN_IN = 512
@@ -30,7 +31,7 @@ FAN_IN = 512
 
 def chars_per_token(df: DataFrame, tok: Tokenizer, n: int = 500, order_key: str = "doc_id", text: str = "text") -> DataFrame:
     """Characters over tokens of the first ``n`` rows, as a ratio of sums (one row)."""
-    first = df.orderBy(order_key).limit(n).select(text)
+    first = head(df.select(order_key, text), n, order_key)
     sums = first.agg(
         F.sum(F.length(text)).cast("long").alias("n_chars"),
         F.sum(tok.count(F.col(text))).cast("long").alias("n_tokens"),
@@ -178,8 +179,9 @@ def assign_buffers(
     block_rows: int = BLOCK_ROWS,
     fan_in: int = FAN_IN,
 ) -> DataFrame:
-    """Add ``buffer_id`` to ``(shard, order_key, n_chars, ...)`` rows by the greedy rule.
+    """Add ``buffer_id`` to ``(shard, order_key, n_chars, n_tokens)`` rows by the greedy rule.
 
+    Also adds ``_block`` and ``_ahead``, the tokens of earlier documents of the same buffer and block.
     ``meta`` is read more than once, so it should be a written table.
     """
     indexed = index_keys(meta, [order_key], ["shard"], "_idx").withColumn(
@@ -202,10 +204,12 @@ def assign_buffers(
             starts[at] = 1
             at = int(np.searchsorted(before, before[at] + limit, side="left"))
         pdf["buffer_id"] = int(pdf["buffer_no"].iloc[0]) + np.cumsum(starts)
+        pdf["_ahead"] = pdf.groupby("buffer_id")["n_tokens"].cumsum() - pdf["n_tokens"]
         return pdf[out_columns]
 
-    out_columns = [*meta.columns, "buffer_id"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in meta.schema), "buffer_id long"])
+    out_columns = [*meta.columns, "_block", "buffer_id", "_ahead"]
+    given = (f"`{f.name}` {f.dataType.simpleString()}" for f in meta.schema)
+    schema = ", ".join([*given, "_block long", "buffer_id long", "_ahead long"])
     return placed.groupBy("shard", "_block").applyInPandas(run, schema)
 
 
@@ -217,15 +221,23 @@ class Packed:
     buffers: DataFrame
 
 
-def _place(meta: DataFrame, order_key: str, seq_len: int) -> DataFrame:
-    """Token offset inside the buffer; a buffer is bounded by its character limit."""
+def _place(assigned: DataFrame, seq_len: int) -> DataFrame:
+    """Token offset inside the buffer: offset inside the block plus what earlier blocks put into the buffer.
+
+    Only per-(buffer, block) sums are ordered, so a buffer of any number of documents is no hot task.
+    """
+    parts = assigned.groupBy("shard", "buffer_id", "_block").agg(F.sum("n_tokens").alias("_n"))
     buffer = Window.partitionBy("shard", "buffer_id")
-    running = buffer.orderBy(order_key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return meta.select(
-        "*",
-        (F.sum("n_tokens").over(running) - F.col("n_tokens")).alias("_offset"),
-        F.floor(F.sum("n_tokens").over(buffer) / seq_len).cast("long").alias("_n_chunks"),
+    earlier = buffer.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = parts.select(
+        "shard",
+        "buffer_id",
+        "_block",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"),
+        F.floor(F.sum("_n").over(buffer) / seq_len).cast("long").alias("_n_chunks"),
     )
+    placed = assigned.join(shifts, ["shard", "buffer_id", "_block"])
+    return placed.withColumn("_offset", F.col("_ahead") + F.col("_shift")).drop("_block", "_ahead", "_shift")
 
 
 def _cut(docs: DataFrame, ids: Column, placed: DataFrame, order_key: str, seq_len: int) -> DataFrame:
@@ -306,8 +318,8 @@ def pack_documents(
     # written first: range sorting samples its input, which must not be a second pass over the texts
     meta = reliable(counted.withColumn("shard", hash_shard(F.col(order_key), shards)))
     limit = seq_len * chars_per_token * num_sequences
-    assigned = assign_buffers(meta, limit, order_key, shards, block_rows, fan_in)
-    placed = reliable(_place(assigned, order_key, seq_len))
+    assigned = reliable(assign_buffers(meta, limit, order_key, shards, block_rows, fan_in))
+    placed = _place(assigned, seq_len)
     buffers = placed.groupBy("shard", "buffer_id").agg(
         F.count("*").alias("n_documents"),
         F.sum("n_chars").alias("n_chars"),

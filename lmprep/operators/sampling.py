@@ -18,7 +18,15 @@ def keep_order(df: DataFrame, key: str) -> DataFrame:
 
 
 def head(df: DataFrame, n: int, order_key: str) -> DataFrame:
-    return df.orderBy(order_key).limit(n)
+    """First ``n`` rows by key.
+
+    The last kept key comes from a scan of the key column alone; the rows are then read through a filter on it,
+    which the scan can use to skip row groups, so texts past the head are not read.
+    """
+    keys = df.select(order_key).orderBy(order_key).limit(n)
+    last = keys.agg(F.max(order_key)).scalar()
+    key = F.col(order_key)
+    return df.where(key.isNull() | (key <= last)).orderBy(order_key).limit(n)
 
 
 def repeat_epochs(df: DataFrame, n: int) -> DataFrame:

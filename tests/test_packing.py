@@ -26,8 +26,7 @@ def random_texts(n, seed):
     return ["".join(rng.choices("abé😀 ", k=rng.choice([0, 0, 1, 3, 10, 40, 200]))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("block_rows,fan_in", [(1000, 512), (7, 512), (7, 2), (1, 3)])
-@pytest.mark.parametrize("num_sequences", [1, 4])
+@pytest.mark.parametrize("block_rows,fan_in,num_sequences", [(1000, 512, 4), (7, 512, 1), (7, 2, 4), (1, 3, 1)])
 def test_equals_sequential_pass(spark, block_rows, fan_in, num_sequences):
     texts = random_texts(60, 5)
     got = pack_sequences(
@@ -57,8 +56,8 @@ def test_block_functions_compose(seed):
 @pytest.mark.parametrize(
     "texts",
     [
-        [], [""], ["", "", ""], ["a" * 500], ["ab"], ["a" * 14, "b" * 14], ["a" * 30, "b" * 2, "c" * 32],
-        ["a" * 32, "b" * 32], ["x" * 100, "", "", "y" * 3, "z" * 100],
+        [], ["", "", ""], ["a" * 500], ["a" * 30, "b" * 2, "c" * 32], ["a" * 32, "b" * 32],
+        ["x" * 100, *[""] * 20, "y" * 3, "z" * 100],
     ],
 )
 def test_edges(spark, texts):
@@ -66,7 +65,7 @@ def test_edges(spark, texts):
     assert collected(got) == models.chunks(texts, 16, 32)
 
 
-@pytest.mark.parametrize("shards", [1, 3, 8])
+@pytest.mark.parametrize("shards", [3])
 def test_shards_are_passes_of_their_own(spark, shards):
     from lmprep.functions.text import hash_shard
 
