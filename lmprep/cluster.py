@@ -7,8 +7,9 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Row bound under which a narrow helper table may be broadcast.
+#: Bounds under which a helper table may be broadcast.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 128 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -38,10 +39,18 @@ def reliable(df: DataFrame) -> DataFrame:
 
 
 def broadcast_within(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` when its known row count is within ``limit``; else leave the join to AQE."""
+    """Broadcast a table of fixed-width columns when its known row count is within ``limit``; else leave the
+    join to AQE."""
     return F.broadcast(df) if rows <= limit else df
 
 
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Measure a written table: rows and bytes, so that a few huge strings do not pass as a small table."""
+    width = sum((F.octet_length(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in df.columns), F.lit(16))
+    found = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("b")).first()
+    return found["n"] <= rows and found["b"] <= size
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lmprep.cluster import BROADCAST_ROWS, broadcast_within, once, reliable, spread_small
+from lmprep.cluster import BROADCAST_ROWS, fits_broadcast, once, reliable, spread_small
 
 
 _SPACES = "\t\n\r\f"
@@ -35,16 +35,16 @@ def contaminated_keys(
 ) -> DataFrame:
     """Keys of the training documents that share an n-gram with any query.
 
-    The distinct query n-grams are written and counted; within ``limit`` they are broadcast and the
+    The distinct query n-grams are written and measured; within ``limit`` rows and the byte bound they are broadcast and the
     documents are scanned without a shuffle. Past it the n-grams are joined by shuffle, one distinct
     n-gram per document, and a boilerplate n-gram on the document side meets one row only.
     """
     grams = reliable(_exploded(queries, query, n).distinct())
-    size = grams.count()
+    small = fits_broadcast(grams, limit)
     train_grams = _exploded(spread_small(train.select(key, text)), text, n, key)
-    if size > limit:
+    if not small:
         train_grams = train_grams.distinct()
-    return train_grams.join(broadcast_within(grams, size, limit), ["_gram"], "left_semi").select(key).distinct()
+    return train_grams.join(F.broadcast(grams) if small else grams, ["_gram"], "left_semi").select(key).distinct()
 
 
 def decontaminate(
@@ -53,10 +53,11 @@ def decontaminate(
 ) -> DataFrame:
     """``drop`` the matching documents, keep ``only`` them, or ``flag`` them.
 
-    The matching keys are counted first: when they are few, the documents are filtered where they lie.
+    The matching keys are measured first: when they are few, the documents are filtered where they lie.
     """
     hits = reliable(contaminated_keys(train, queries, n, key, text, query, limit))
-    hits = broadcast_within(hits, hits.count(), limit)
+    if fits_broadcast(hits, limit):
+        hits = F.broadcast(hits)
     if mode == "drop":
         return train.join(hits, [key], "left_anti")
     if mode == "only":

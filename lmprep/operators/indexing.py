@@ -65,5 +65,12 @@ def with_row_index(
     names = [*within, *order_by]
     if len(df.columns) == len(names):
         return index_keys(df, order_by, within, name)
-    indexed = index_keys(df.select(*names), order_by, within, name)
-    return df.join(indexed, names)
+    return join_index(df, index_keys(df.select(*names), order_by, within, name), order_by, within)
+
+
+def join_index(df: DataFrame, indexed: DataFrame, order_by: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """Rows with their index; a null group is a group like any other."""
+    added = [c for c in indexed.columns if c not in {*order_by, *within}]
+    renamed = indexed.withColumnsRenamed({c: f"_k_{c}" for c in (*order_by, *within)})
+    same = [F.col(c) == F.col(f"_k_{c}") for c in order_by] + [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in within]
+    return df.join(renamed, same).select(*(F.col(f"`{c}`") for c in df.columns), *added)

@@ -17,6 +17,7 @@ _MAX_BLOCKS = 8192
 _MIN_BLOCK_STEPS = 4096
 _RUN_STEPS = 1024
 _COPIES_PER_KEY = 64
+_CASE_SOURCES = 32  # more than this and the branches outgrow one compiled method
 
 
 def mix_probabilities(spec: str | Sequence[float] | None, n: int) -> list[float]:
@@ -40,6 +41,9 @@ def combine_sources(sources: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def _pick(hexes: Column, bounds: Sequence[str]) -> Column:
+    """Number of the source whose share of [0, 1) holds the draw."""
+    if len(bounds) > _CASE_SOURCES:
+        return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= hexes))
     chosen = F.lit(len(bounds) - 1)
     for i in reversed(range(len(bounds) - 1)):
         chosen = F.when(hexes < bounds[i], F.lit(i)).otherwise(chosen)
@@ -87,11 +91,7 @@ def _schedule(spark: SparkSession, n_steps: int, bounds: Sequence[str], seed: in
 
 def _exhausted_at(schedule: DataFrame, rows: Sequence[int]) -> dict[int, int]:
     """Step at which each source has given its last row for the first time (one row per source)."""
-    last = reduce(
-        lambda acc, i: F.when(F.col("source_no") == i, F.lit(rows[i] - 1)).otherwise(acc),
-        range(len(rows)),
-        F.lit(-1),
-    )
+    last = F.element_at(F.array(*(F.lit(n - 1) for n in rows)), F.col("source_no") + 1)
     hits = schedule.where(F.col("draw") == last).select("source_no", "step").collect()
     return {r["source_no"]: r["step"] for r in hits}
 

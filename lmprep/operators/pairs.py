@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lmprep.operators.indexing import index_keys
+from lmprep.operators.indexing import with_row_index
 
 
 def language_pairs(languages: DataFrame, src: str = "src_langs", tgt: str = "tgt_langs") -> DataFrame:
@@ -42,5 +42,4 @@ def pair_sentences(
 
 def numbered_by_language(df: DataFrame, lang: str = "lang", order_key: str = "doc_id") -> DataFrame:
     """Item number inside each language, for corpora that are parallel by position."""
-    numbers = index_keys(df.select(lang, order_key), [order_key], [lang], "item")
-    return df.join(numbers, [lang, order_key])
+    return with_row_index(df, [order_key], [lang], "item")

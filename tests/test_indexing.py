@@ -1,7 +1,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lmprep.cluster import ensure_checkpoint_dir, spread_small
+from lmprep.cluster import ensure_checkpoint_dir, fits_broadcast, spread_small
 from lmprep.operators.batching import make_batches, pad_batch_left, pad_batch_longest
 from lmprep.operators.indexing import with_row_index
 from lmprep.operators.sampling import repeat_epochs
@@ -29,6 +29,18 @@ def test_index_within_groups(spark):
     assert got.exceptAll(want).count() == 0 and got.count() == 3000
 
 
+def test_null_group_is_kept(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "a", "v") for i in range(10)], "k int, g string, v string")
+    got = with_row_index(df, ["k"], ["g"]).orderBy("k").collect()
+    assert [r.row_index for r in got] == [i // 2 for i in range(10)]
+
+
+def test_broadcast_bounds(spark):
+    df = spark.createDataFrame([("x" * 100,)] * 5, "s string")
+    assert fits_broadcast(df) and not fits_broadcast(df, rows=4) and not fits_broadcast(df, size=400)
+    assert fits_broadcast(df.limit(0))
+
+
 def test_batches(spark):
     df = spark.range(21).select((100 - F.col("id")).alias("k"))
     got = make_batches(df.repartition(4), 8, "k").orderBy("k").collect()

@@ -41,6 +41,11 @@ def test_schedule_grows_until_every_source_ran_out(spark, monkeypatch):
     run(spark, [60, 60], None, "all_exhausted")
 
 
+def test_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_CASE_SOURCES", 2)
+    run(spark, [9, 4, 6, 5], "0.4,0.2,0.3,0.1", "all_exhausted")
+
+
 def test_probabilities():
     assert mix_probabilities(None, 4) == [0.25] * 4
     assert mix_probabilities("0.25,0.75", 2) == [0.25, 0.75]
