@@ -14,7 +14,7 @@ from lmprep.functions.arrays import strip_prompt_tokens
 from lmprep.functions.text import normalize_prediction
 from lmprep.functions.tokenizers import Tokenizer
 
-#: Generation options a caller may leave out, with the values used then.
+# Generation options a caller may leave out, with the values used then.
 GENERATION_DEFAULTS = {
     "max_new_tokens": 100,
     "do_sample": True,

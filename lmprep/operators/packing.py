@@ -63,20 +63,18 @@ class Steps:
         return int(self.left[at]), int(self.opened[at]) + 1
 
 
-def _starts_after(before: np.ndarray, limit: float) -> np.ndarray:
-    return np.searchsorted(before, before + limit, side="left")
-
-
 def steps_of_documents(n_chars: np.ndarray, limit: float) -> Steps:
+    """Follow the chain of starts for all possible first starts at once."""
     n = len(n_chars)
-    ends = np.cumsum(n_chars, dtype=np.int64)
-    before, total = ends - n_chars, int(ends[-1]) if n else 0
-    left, opened = total - before, np.zeros(n, dtype=np.int64)
-    follow = _starts_after(before, limit)
-    for i in range(n - 1, -1, -1):
-        if follow[i] < n:
-            left[i], opened[i] = left[follow[i]], opened[follow[i]] + 1
-    return _bounded(Steps(before, left, opened, total), limit)
+    before = np.cumsum(n_chars, dtype=np.int64) - n_chars
+    total = int(n_chars.sum())
+    follow = np.append(np.searchsorted(before, before + limit, side="left"), n)
+    first = np.arange(min(n, int(np.searchsorted(before, limit, side="left")) + 1))
+    at, opened = first.copy(), np.zeros(len(first), dtype=np.int64)
+    while (more := follow[at] < n).any():
+        at = np.where(more, follow[at], at)
+        opened += more
+    return _bounded(Steps(before[first], total - before[at], opened, total), limit)
 
 
 def _bounded(s: Steps, limit: float) -> Steps:
