@@ -18,8 +18,7 @@ _PARTITION_BITS = 33  # monotonically_increasing_id keeps the partition above th
 
 
 def _tag_runs(keys: DataFrame, sort_columns: Sequence[str]) -> DataFrame:
-    n = shuffle_partitions(keys.sparkSession)
-    ordered = keys.repartitionByRange(n, *sort_columns).sortWithinPartitions(*sort_columns)
+    ordered = keys.repartitionByRange(*sort_columns).sortWithinPartitions(*sort_columns)
     tagged = reliable(ordered.withColumn("_at", F.monotonically_increasing_id()))
     return tagged.select(
         "*",
