@@ -20,6 +20,8 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def rows(frame: pd.DataFrame) -> list[str]:
+    if frame.empty:
+        return []
     return sorted(frame[sorted(frame.columns)].astype(object).map(repr_value).agg("\x1f".join, axis=1).tolist())
 
 

@@ -79,7 +79,8 @@ def test_labels_equal_prefix_rule(spark, limit):
 
 def test_labels_at_span_ends(spark):
     case = [("user", "abc"), ("assistant", "de"), ("user", "f"), ("assistant", "g")]
-    for limit in range(1, len(models.encode(models.render(case))) + 2):
+    ends = [len(models.encode(models.render(case[:i]) + h)) for i in range(1, 5) for h in ("", "<|assistant|>\n")]
+    for limit in sorted({end + d for end in ends for d in (-1, 0, 1)})[::2]:
         row = mask_chat_labels(frame(spark, [case]), TOK, limit).first()
         assert (row.input_ids, row.labels) == models.chat_labels(case, limit)
 
