@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 IGNORE = -100  # fixed value: label that the loss skips
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once per row, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _fill(value: Column, count: Column) -> Column:
     return F.array_repeat(value, F.greatest(count.cast("int"), F.lit(0)))
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lmprep.functions.arrays import bind
+
 IDS = "array<int>"
 
 
@@ -63,28 +65,28 @@ class CodepointTokenizer:
         return 1 if specials and self.add_bos else 0
 
     def encode(self, text: Column, max_len: int | None = None, specials: bool = True) -> Column:
-        lead = self._leading(specials)
         if max_len is not None:
             # the longest token spans four characters, so this cut never reaches a kept token
             text = F.substring(text, 1, len(self.eos) * max_len)
+        ids = bind(text, self._ids)
+        if self._leading(specials):
+            ids = F.concat(F.array(F.lit(self.bos_id)), ids)
+        return ids if max_len is None else F.slice(ids, 1, max_len)
 
+    def _ids(self, text: Column) -> Column:
         def char_id(c: Column) -> Column:
             return F.ascii(c) + F.lit(self.shift)
 
         def piece_id(c: Column) -> Column:
             return F.when(c == self.eos, self.eos_id).when(c == self.bos, self.bos_id).otherwise(char_id(c))
 
-        empty = F.array().cast(IDS)
         pieces = F.regexp_extract_all(text, F.lit("(?s)</s>|<s>|."), F.lit(0))
         special = F.contains(text, F.lit(self.eos)) | F.contains(text, F.lit(self.bos))
-        ids = (
-            F.when(text == "", empty)
+        return (
+            F.when(text == "", F.array().cast(IDS))
             .when(special, F.transform(pieces, piece_id))
             .otherwise(F.transform(F.split(text, ""), char_id))
         )
-        if lead:
-            ids = F.when(text.isNotNull(), F.concat(F.array(F.lit(self.bos_id)), ids))
-        return ids if max_len is None else F.slice(ids, 1, max_len)
 
     def count(self, text: Column, max_len: int | None = None, specials: bool = True) -> Column:
         single = F.replace(F.replace(text, F.lit(self.eos), F.lit("x")), F.lit(self.bos), F.lit("x"))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lmprep.functions.arrays import IGNORE, append_eos, mask_prefix, ones, pad_right, padded_mask
+from lmprep.functions.arrays import IGNORE, append_eos, bind, mask_prefix, ones, pad_right, padded_mask
 from lmprep.functions.chat import HEADER, chat_training_text, message_body, message_header, render_messages
 from lmprep.functions.tokenizers import IDS, ModelTokenizer, Tokenizer
 
@@ -122,7 +122,9 @@ def mask_instruction_labels(
     p = F.col(prompt)
     base = df.select(
         "*",
-        append_eos(tok.encode(F.concat(p, F.col(output)), max_len), tok.eos_id, max_len).alias("_ids"),
+        bind(
+            tok.encode(F.concat(p, F.col(output)), max_len), lambda ids: append_eos(ids, tok.eos_id, max_len)
+        ).alias("_ids"),
         tok.count(p, max_len).alias("_n_prompt"),
     )
     ids = F.col("_ids")
