@@ -1,7 +1,8 @@
 import pytest
 from oracle import compare, connect
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from lmprep.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,14 +12,14 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    result = compare(spark, con, name, queries()[name], oracle_sql().get(name), SF)
+    result = compare(spark, con, name, QUERIES[name], ORACLES.get(name), SF)
     assert result["ok"] is not False, (result["rows"], result["want"], result["types"])
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
 
 
 def test_entry(spark):
