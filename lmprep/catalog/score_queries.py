@@ -67,7 +67,8 @@ g AS (SELECT grp, id, k, substr(p, i::BIGINT, k) AS gram, 1 AS np, 0 AS nt
       UNION ALL
       SELECT grp, id, k, substr(t, i::BIGINT, k), 0, 1 FROM (SELECT *, unnest(range(1, length(t) - k + 2)) AS i FROM o)),
 c AS (SELECT grp, id, k, gram, sum(np) AS np, sum(nt) AS nt FROM g GROUP BY ALL),
-s AS (SELECT grp, k, sum(least(np, nt))::DOUBLE AS m, sum(np)::DOUBLE AS p, sum(nt)::DOUBLE AS t FROM c GROUP BY grp, k),
+e AS (SELECT grp, id, k, sum(least(np, nt)) AS m, sum(np) AS p, sum(nt) AS t FROM c GROUP BY grp, id, k HAVING sum(nt) > 0),
+s AS (SELECT grp, k, sum(m)::DOUBLE AS m, sum(p)::DOUBLE AS p, sum(t)::DOUBLE AS t FROM e GROUP BY grp, k),
 a AS (SELECT grp, avg(m / p) AS pr, avg(m / t) AS re FROM s WHERE p > 0 AND t > 0 GROUP BY grp)
 SELECT grp, round(100 * 5 * pr * re / (4 * pr + re), 6) AS chrf FROM a
 """
@@ -103,7 +104,8 @@ g AS (SELECT grp, id, k, array_to_string(p[i:i + k - 1], ' ') AS gram, 1 AS np,
       SELECT grp, id, k, array_to_string(t[i:i + k - 1], ' '), 0, 1
       FROM (SELECT *, unnest(range(1, len(t) - k + 2)) AS i FROM o)),
 c AS (SELECT grp, id, k, gram, sum(np) AS np, sum(nt) AS nt FROM g GROUP BY ALL),
-s AS (SELECT grp, k, sum(least(np, nt))::DOUBLE AS m, sum(np)::DOUBLE AS p, sum(nt)::DOUBLE AS t FROM c GROUP BY grp, k),
+e AS (SELECT grp, id, k, sum(least(np, nt)) AS m, sum(np) AS p, sum(nt) AS t FROM c GROUP BY grp, id, k HAVING sum(nt) > 0),
+s AS (SELECT grp, k, sum(m)::DOUBLE AS m, sum(p)::DOUBLE AS p, sum(t)::DOUBLE AS t FROM e GROUP BY grp, k),
 z AS (SELECT *, sum((m = 0)::INTEGER) OVER (PARTITION BY grp ORDER BY k) AS misses FROM s),
 l AS (SELECT grp, avg(ln(CASE WHEN m > 0 THEN m / p ELSE 1 / (pow(2, misses) * p) END)) AS logs, count(*) AS orders,
              sum(m) AS matched, max(CASE WHEN k = 1 THEN p END) AS c, max(CASE WHEN k = 1 THEN t END) AS r

@@ -20,11 +20,14 @@ def add_fewshot(
     seed: int = 42,
     separator: str = "\n\n",
     delimiter: str = " ",
+    pool_is_test: bool = True,
 ) -> DataFrame:
-    """Prefix each prompt with ``n`` solved examples, leaving the document itself out.
+    """Prefix each prompt with ``n`` solved examples.
 
     ``first_n`` takes the head of the pool, ``seeded`` the head of a seeded order of it. Only
     ``n + 1`` rows leave the pool; they reach the documents as one scalar array, without a join.
+    ``pool_is_test`` says that pool and documents are one split: the row with the document's own key is left out. In
+    another split an equal key is another document, so all show the same examples.
     """
     if n == 0:
         return docs.withColumn("fewshot_prompt", F.col(prompt))
@@ -38,6 +41,6 @@ def add_fewshot(
     packed = chosen.agg(F.array_sort(F.collect_list(F.struct("at", "key", "shown"))).alias("examples"))
     own = F.col(key)
     placed = docs.withColumn("_examples", packed.scalar())
-    others = F.slice(F.filter("_examples", lambda e: e["key"] != own), 1, n)
+    others = F.slice(F.filter("_examples", lambda e: ~e["key"].eqNullSafe(own) if pool_is_test else F.lit(True)), 1, n)
     parts = F.concat(F.transform(others, lambda e: e["shown"]), F.array(F.col(prompt)))
     return placed.withColumn("fewshot_prompt", F.array_join(parts, separator)).drop("_examples")

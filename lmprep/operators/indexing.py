@@ -8,6 +8,8 @@ the rows. Only the keys are written to the checkpoint; each row then adds the of
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,17 +29,26 @@ def _tag_runs(keys: DataFrame, sort_columns: Sequence[str]) -> DataFrame:
     ).drop("_at")
 
 
+def _check_keys(keys: DataFrame, within: list[str], order_by: list[str]) -> None:
+    """Rows are joined back by key, so a repeated key would double rows and a null one lose them. Reads keys only."""
+    null = reduce(or_, (F.col(c).isNull() for c in order_by))
+    bad = keys.groupBy(*within, *order_by).agg(F.count("*").alias("_rows")).where((F.col("_rows") > 1) | null).head()
+    if bad is not None:
+        raise ValueError(f"order keys must be unique and not null, found {bad.asDict()}")
+
+
 def index_keys(
     keys: DataFrame, order_by: Sequence[str], within: Sequence[str] = (), name: str = "row_index"
 ) -> DataFrame:
     """Add a dense 0-based ``name`` to a narrow frame, restarting in every ``within`` group.
 
-    ``order_by`` must be unique inside a group.
+    ``order_by`` must be unique inside a group and not null; a key that is not raises ``ValueError``.
     """
     if "_part" in keys.columns or "_pos" in keys.columns:
         raise ValueError("columns _part and _pos are reserved")
     within = list(within)
     tagged = _tag_runs(keys, [*within, *order_by])
+    _check_keys(tagged, within, list(order_by))
     runs = tagged.groupBy("_part", *within).agg(F.count("*").alias("_n"), F.min("_pos").alias("_first"))
     earlier = Window.partitionBy(*(within or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = runs.select(

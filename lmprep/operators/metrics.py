@@ -84,7 +84,9 @@ def _overlap(orders: int):
         out = []
         for n in range(1, orders + 1):
             p, t = grams(prediction, n), grams(target, n)
-            out += [sum(min(k, t[g]) for g, k in p.items() if g in t), p.total(), t.total()]
+            # characters: a row without target n-grams of an order does not count for its precision either
+            made = p.total() if t or not isinstance(prediction, str) else 0
+            out += [sum(min(k, t[g]) for g, k in p.items() if g in t), made, t.total()]
         return out
 
     @F.pandas_udf("array<long>")

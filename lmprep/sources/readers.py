@@ -19,11 +19,24 @@ from lmprep.sources.specs import (
 
 
 def read_json_records(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """UTF-8 JSON files that hold an array of records each. Give a schema: without one the files are read twice."""
+    """UTF-8 JSON files that hold an array of records each. Give a schema: without one the records are read twice.
+
+    Of a file that holds lines of records the scan would keep the first record alone, so such a file raises ``ValueError``;
+    ``read_json_lines`` is for those.
+    """
+    whole = spark.read.option("wholetext", True).text(path)
+    if whole.where(~F.col("value").rlike(r"^\uFEFF?\s*\[")).select(F.lit(1)).head() is not None:
+        raise ValueError(f"{path} holds a file that is not a JSON array; use read_json_lines for lines of records")
     reader = spark.read.option("multiLine", True).option("encoding", "UTF-8").option("mode", "FAILFAST")
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """UTF-8 files of one JSON record a line, as ``write_predictions_json`` makes them. Large files are split over tasks."""
+    reader = spark.read.option("mode", "FAILFAST")
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
 def open_table(spark: SparkSession, name: str) -> DataFrame:
     """A Parquet path, or a table or view of the session."""
     if "/" in name and path_exists(spark, name):

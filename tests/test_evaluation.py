@@ -89,3 +89,12 @@ def test_parallel(spark):
     b = a.select("item", F.upper("text").alias("text"))
     got = pair_sentences(a, b, "item", names=("en", "de")).orderBy("item").collect()
     assert [(r.sentence_en, r.sentence_de) for r in got] == [("x", "X"), ("y", "Y")]
+
+
+def test_fewshot_from_another_split(spark):
+    pool = spark.createDataFrame([(i, f"p{i}", f"a{i}") for i in range(5)], "id int, prompt string, target string")
+    docs = spark.createDataFrame([(0, "q0", ""), (1, "q1", ""), (9, "q9", ""), (None, "qn", "")], "id int, prompt string, target string")
+    got = {r.fewshot_prompt for r in add_fewshot(docs, pool, 2, "id", pool_is_test=False).collect()}
+    assert got == {f"p0 a0\n\np1 a1\n\n{q}" for q in ("q0", "q1", "q9", "qn")}
+    own = {r.id: r.fewshot_prompt for r in add_fewshot(docs, pool, 1, "id").collect()}
+    assert own[0].startswith("p1") and own[None].startswith("p0")

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -72,3 +73,10 @@ def test_session_helpers(spark):
     assert spread_small(spark.range(10, numPartitions=1)).count() == 10
     big = spark.range(10, numPartitions=1)
     assert spread_small(big, limit_bytes=1) is big
+
+
+@pytest.mark.parametrize("key", [1, None])
+def test_bad_keys_raise(spark, key):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (key, "c")], "k int, text string")
+    with pytest.raises(ValueError, match="unique and not null"):
+        with_row_index(df, ["k"])

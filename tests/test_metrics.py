@@ -40,7 +40,7 @@ def chrf(pairs):
         p, g = "".join((p or "").split()), "".join((g or "").split())
         for n in range(1, 7):
             a, b = counts(p, n), counts(g, n)
-            for i, v in enumerate((sum((a & b).values()), sum(a.values()), sum(b.values()))):
+            for i, v in enumerate((sum((a & b).values()), sum(a.values()) if b else 0, sum(b.values()))):
                 sums[n - 1][i] += v
     used = [(m / p, m / t) for m, p, t in sums if p and t]
     if not used:
@@ -113,3 +113,8 @@ def test_group_mean_is_of_tasks(spark):
     df = spark.createDataFrame([("g", "a", 1.0), ("g", "b", 0.0), ("h", "c", 0.5)], "group string, task string, value double")
     got = {(r.group, r.task): r.value for r in group_scores(df).collect()}
     assert got == {("g", "a"): 1.0, ("g", "b"): 0.0, ("h", "c"): 0.5, ("g", None): 0.5, ("h", None): 0.5}
+
+
+def test_chrf_of_short_targets(spark):
+    rows = [("g", "abcdefgh", "abcdefgh"), ("g", "abcdefghij", "ab")]
+    assert corpus_chrf(frame(spark, rows)).first().chrf == pytest.approx(96.40, abs=0.005)

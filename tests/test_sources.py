@@ -146,3 +146,11 @@ def test_build_prompts(spark):
     chats = spark.createDataFrame([([(0, "user", "hi")],)], schemas.CHAT)
     for kind in ("chat", "hfchat"):
         assert build_prompts(spark, chats, kind).first().prompts == "<|user|>\nhi\n<|assistant|>\n"
+
+
+def test_lines_of_records_are_not_an_array(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    spark.range(10).selectExpr("cast(id as string) AS input", "'r' AS raw_output", "'o' AS output").write.json(path)
+    assert readers.read_json_lines(spark, path).count() == 10
+    with pytest.raises(ValueError, match="read_json_lines"):
+        readers.read_json_records(spark, path)
