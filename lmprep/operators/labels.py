@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,38 +72,29 @@ def _mask_by_prefixes(df: DataFrame, tok: ModelTokenizer, max_len: int, messages
     load = tok.loader
     cue = HEADER["assistant"]
 
-    def spans(pieces: list[str], roles: list[str]) -> list[tuple[str, str, int]]:
-        found, before = [], ""
-        for i, (piece, role) in enumerate(zip(pieces, roles)):
-            after = before + piece
-            if role != "assistant":
-                answered = i + 1 < len(roles) and roles[i + 1] == "assistant"
-                found.append((before, after + cue if answered else after, i))
-            before = after
-        return found
+    def labelled(model, text: str, pieces: list[str], roles: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        heads = list(accumulate(pieces, initial=""))
+        hidden = [i for i, role in enumerate(roles) if role != "assistant"]
+        ends = [heads[i + 1] + (cue if roles[i + 1 : i + 2] == ["assistant"] else "") for i in hidden]
+        # one call for a conversation; the end of a message is often the start of the next
+        texts = list(dict.fromkeys([text, *(heads[i] for i in hidden), *ends]))
+        encoded = dict(zip(texts, model.encode(texts)))
+        counts = {t: len(x) for t, x in encoded.items()} | {"": 0}
+        ids = np.asarray(encoded[text][:max_len], np.int32)
+        labels = ids.copy()
+        for i, end in zip(hidden, ends):
+            labels[counts[heads[i]] : counts[end]] = IGNORE
+        return ids, labels
 
     @F.pandas_udf(f"struct<input_ids:{IDS},labels:{IDS}>")
     def label_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
-
-        def n_tokens(text: str) -> int:
-            return min(len(model.encode([text])[0]), max_len)
-
         for rows in batches:
-            out_ids, out_labels = [], []
-            for text, pieces, roles in zip(rows["text"], rows["pieces"], rows["roles"]):
-                ids = model.encode([text])[0][:max_len]
-                labels = list(ids)
-                for before, upto, i in spans(list(pieces), list(roles)):
-                    start = n_tokens(before) if i else 0
-                    end = n_tokens(upto)
-                    for j in range(start, min(end, len(labels))):
-                        labels[j] = IGNORE
-                    if end >= max_len:
-                        break
-                out_ids.append(ids)
-                out_labels.append(labels)
-            yield pd.DataFrame({"input_ids": out_ids, "labels": out_labels})
+            found = [
+                labelled(model, text, list(pieces), list(roles))
+                for text, pieces, roles in zip(rows["text"], rows["pieces"], rows["roles"])
+            ]
+            yield pd.DataFrame(found, columns=["input_ids", "labels"])
 
     m = F.col(messages)
     given = F.struct(

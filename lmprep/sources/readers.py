@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from lmprep.sources.specs import (
     SourceSpec,
     is_data_file,
+    is_json_lines,
     parse_prompt_spec,
     parse_source_spec,
     parse_validation_spec,
@@ -64,6 +65,8 @@ def read_dataset(spark: SparkSession, name: str, subset: str | None = None, spli
 
 
 def read_spec(spark: SparkSession, spec: SourceSpec, schema: T.StructType | None = None) -> DataFrame:
+    if spec.is_file and is_json_lines(spec.name):
+        return read_json_lines(spark, spec.name, schema)
     if spec.is_file:
         return read_json_records(spark, spec.name, schema)
     return read_dataset(spark, spec.name, spec.subset, spec.split)

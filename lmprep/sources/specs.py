@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -12,6 +13,11 @@ from pyspark.sql import SparkSession
 from lmprep.functions.templates import DEFAULT_PROMPTS
 
 
+#: Scheme and host of an address with a path, whose colons separate nothing: ``s3a://bucket``, ``hdfs://host:8020``, ``file:``.
+_PLACE = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?(?=/)")
+_LINES_SUFFIX = (".jsonl", ".jsonl.gz", ".jsonl.bz2", ".jsonl.zst")
+
+
 @dataclass(frozen=True)
 class SourceSpec:
     """A named dataset with optional language subset and split; or a JSON file."""
@@ -22,15 +28,38 @@ class SourceSpec:
     is_file: bool = False
 
 
+def _fields(item: str) -> list[str]:
+    """The parts of a spec between its colons; the first one may be an address."""
+    place = _PLACE.match(item)
+    start = place.end() if place else 0
+    first, *others = item[start:].split(":")
+    return [item[:start] + first, *others]
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on whatever file system it names."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    system, target = _file_system(spark, path)
+    return system.exists(target)
 
 
 def is_data_file(spark: SparkSession, path: str) -> bool:
-    return not path.endswith(".parquet") and ":" not in path.split("://")[-1] and path_exists(spark, path)
+    """Whether a path is JSON: a file that is not named as Parquet, or a folder that holds ``*.json`` or ``*.jsonl`` files."""
+    if path.rstrip("/").endswith(".parquet") or len(_fields(path)) > 1 or not path_exists(spark, path):
+        return False
+    system, target = _file_system(spark, path)
+    if not system.getFileStatus(target).isDirectory():
+        return True
+    inside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target, "*.json*")
+    return len(system.globStatus(inside)) > 0
+
+
+def is_json_lines(path: str) -> bool:
+    return path.endswith(_LINES_SUFFIX)
 
 
 def parse_source_spec(
@@ -46,7 +75,7 @@ def parse_source_spec(
         return [SourceSpec(spec, split=split, is_file=True)]
     found = []
     for item in spec.split(",") if many else [spec]:
-        parts = item.split(":")
+        parts = _fields(item)
         if len(parts) > 2:
             raise ValueError(f"expected name or name:subset, got {item!r}")
         found.append(SourceSpec(parts[0], parts[1] if len(parts) == 2 else None, split))
@@ -59,7 +88,7 @@ def parse_prompt_spec(spec: str | None, exists: Callable[[str], bool] = lambda _
         raise ValueError("No prompt file provided.")
     if exists(spec):
         return SourceSpec(spec, is_file=True)
-    parts = spec.split(":")
+    parts = _fields(spec)
     if len(parts) == 2:
         return SourceSpec(parts[0], None, parts[1])
     if len(parts) == 3:
@@ -80,7 +109,7 @@ def parse_validation_spec(spec: str) -> list[tuple[str | None, str]]:
     if "," not in spec:
         return [(None, spec)]
     items = spec.split(",")
-    if any(":" not in item for item in items):
+    if any(":" not in item or re.match(r"[A-Za-z][A-Za-z0-9+.\-]*://", item) for item in items):
         raise ValueError("several validation sets need the form name:path")
     named = [tuple(item.split(":", 1)) for item in items]
     check_unique_names(name for name, _ in named)

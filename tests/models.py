@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 BOS, EOS = 1, 2
 
@@ -30,21 +31,17 @@ def render(messages) -> str:
 
 
 def chat_labels(messages, limit: int, enc=encode):
-    """Masked spans from token counts of re-tokenized prefixes."""
+    """Each token belongs to a message; it is learned in an answer, but not in the header of one that follows another role."""
     ids = enc(render(messages).strip())[:limit]
-    labels = list(ids)
-    for i, (role, _) in enumerate(messages):
-        if role == "assistant":
-            continue
-        start = 0 if i == 0 else len(enc(render(messages[:i]))[:limit])
-        upto = render(messages[: i + 1])
-        if i + 1 < len(messages) and messages[i + 1][0] == "assistant":
-            upto += "<|assistant|>\n"
-        end = len(enc(upto)[:limit])
-        labels[start:end] = [-100] * len(labels[start:end])
-        if end >= limit:
-            break
-    return ids, labels
+    starts = [len(enc(render(messages[:i]))) if i else 0 for i in range(len(messages))]
+    bodies = [len(enc(render(messages[:i]) + "<|assistant|>\n")) for i in range(len(messages))]
+
+    def learned(place: int) -> bool:
+        owner = bisect_right(starts, place) - 1
+        follows_other = owner > 0 and messages[owner - 1][0] != "assistant"
+        return messages[owner][0] == "assistant" and (place >= bodies[owner] or not follows_other)
+
+    return ids, [token if learned(place) else -100 for place, token in enumerate(ids)]
 
 
 def buffers(lengths: list[int], limit: float) -> list[int]:

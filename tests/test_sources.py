@@ -52,6 +52,41 @@ def test_spec_grammars():
             valid(bad)
 
 
+@pytest.mark.parametrize(
+    "place", ["s3a://bucket/corpus.parquet", "hdfs://host:8020/a/corpus", "file:///data/corpus", "file:/data/corpus", "/data/corpus"]
+)
+def test_specs_with_addresses(place):
+    spec = specs.SourceSpec
+    assert specs.parse_source_spec(place) == [spec(place)]
+    assert specs.parse_source_spec(f"{place}:et") == [spec(place, "et")]
+    assert specs.parse_source_spec(f"{place},{place}:et", many=True) == [spec(place), spec(place, "et")]
+    assert specs.parse_prompt_spec(f"{place}:test") == spec(place, None, "test")
+    assert specs.parse_prompt_spec(f"{place}:et:test") == spec(place, "et", "test")
+    assert specs.parse_validation_spec(f"a:{place}:et,b:{place}") == [("a", f"{place}:et"), ("b", place)]
+    with pytest.raises(ValueError):
+        specs.parse_prompt_spec(place)
+
+
+def test_validation_addresses_need_names():
+    with pytest.raises(ValueError):
+        specs.parse_validation_spec("s3a://bucket/a,s3a://bucket/b")
+
+
+def test_folders_and_lines_are_told_apart(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"t{i}", "de") for i in range(10)], "doc_id long, text string, lang string")
+    rows.write.parquet(str(tmp_path / "bare"))
+    assert readers.read_source(spark, str(tmp_path / "bare")).count() == 10
+    assert readers.read_source(spark, f"file:{tmp_path}/bare:de").count() == 10
+    assert readers.read_source(spark, f"file:{tmp_path}/bare:fr").count() == 0
+    lines = tmp_path / "r.jsonl"
+    lines.write_text("".join(f'{{"text": "t{i}"}}\n' for i in range(10)))
+    assert readers.read_source(spark, str(lines)).count() == 10
+    folder = tmp_path / "arrays"
+    folder.mkdir()
+    (folder / "one.json").write_text('[{"text": "a"}, {"text": "b"}]')
+    assert readers.read_source(spark, f"file:{folder}").count() == 2
+
+
 def test_prompt_formats(spark, tmp_path):
     assert specs.load_prompt_format() == DEFAULT_PROMPTS
     own = {"prompt_input": "{input}->{instruction}:", "prompt_no_input": "{instruction}:"}
