@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from lmprep.llm import best_fit, bpe, jaccard, line_templates, lm_score, quality, secret_scan, top_k, url_filter, warc
 from lmprep.llm.automaton import compile_rules, parse
-from lmprep.llm.components import connected_components
+from lmprep.llm.components import connected_components, more_links
 from lmprep.llm.store import new_folder
 from tests.llm import brute
 
@@ -158,6 +158,15 @@ def test_components(spark):
     assert got == {n: min(g) for n, g in at.items() if len(g) > 1}
 
 
+def test_links_added_to_components(spark):
+    pairs = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    first, second = [(5, 6), (7, 8), (20, 21)], [(8, 6), (1, 7), (30, 31), (30, 30), (5, 6)]
+    got = sorted(map(tuple, more_links(connected_components(pairs(first)), pairs(second)).collect()))
+    assert got == sorted(map(tuple, connected_components(pairs(first + second)).collect()))
+    assert dict(got) == {1: 1, 5: 1, 6: 1, 7: 1, 8: 1, 20: 20, 21: 20, 30: 30, 31: 30}
+    assert more_links(connected_components(pairs([])), pairs([])).count() == 0
+
+
 def test_archive(spark, tmp_path):
     rows = [(1, "http://a/", "same"), (5, None, "same"), (3, "u\r\nv", "same"), (4, "b", None), (6, "b", ""), (7, "c", "é"), (None, "d", "é"), (8, "e", "one"), (8, "e", "one")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, key string")
