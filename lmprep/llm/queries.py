@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lmprep.llm import best_fit, bpe, jaccard, line_templates, lm_score, quality, secret_scan, top_k, url_filter, warc
+from lmprep.llm import (
+    best_fit, bpe, jaccard, line_templates, lm_score, quality, secret_scan, top_k, url_filter, warc, whitening,
+)
 from lmprep.llm.arrow import table
 from lmprep.llm.store import new_folder
 
@@ -124,6 +126,12 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
 """
 
+
+def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": lm,
     "op2_secret_scan": secrets,
@@ -135,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": lines,
     "op9_best_fit": packed,
     "op10_top_k": nearest,
+    "op13_whitening": whitened,
 }
 
 ORACLES = {
