@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lmprep.llm import (
-    best_fit, bpe, jaccard, line_templates, lm_score, quality, secret_scan, top_k, url_filter, warc, whitening,
+    best_fit, bpe, hard_negatives, jaccard, line_templates, lm_score, quality, secret_scan, top_k, url_filter, warc, whitening,
 )
 from lmprep.llm.arrow import table
 from lmprep.llm.store import new_folder
+from lmprep.llm.vectors import quantized
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -127,6 +128,35 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+def mined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), quantized(F.col("embedding")).alias("x"))
+    return hard_negatives.hard_negatives(vectors, F.col("id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
+MINED_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id AS other_id,
+    CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = whitening.whiten(table(spark, sf_dir, "embeddings"))
     return out.withColumn("deviation", F.col("deviation").try_cast("long"))
@@ -143,6 +173,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": lines,
     "op9_best_fit": packed,
     "op10_top_k": nearest,
+    "op11_hard_negatives": mined,
     "op13_whitening": whitened,
 }
 
@@ -151,4 +182,5 @@ ORACLES = {
     "op7_warc": ARCHIVE_SQL,
     "op8_line_dedup": line_templates.SQL,
     "op10_top_k": NEAREST_SQL,
+    "op11_hard_negatives": MINED_SQL,
 }
