@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lmprep.llm import (
-    best_fit, bpe, hard_negatives, jaccard, line_templates, lm_score, quality, secret_scan, top_k, url_filter, warc, whitening,
+    best_fit, bpe, hard_negatives, html_extract, jaccard, line_templates, lm_score, quality, secret_scan, top_k, url_filter, warc, whitening,
 )
 from lmprep.llm.arrow import table
 from lmprep.llm.store import new_folder
@@ -157,6 +157,11 @@ QUALIFY rank <= 3
 """
 
 
+def article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", "url", html_extract.main_text(pages).alias("t")).select("page_id", "url", "t.*")
+
+
 def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = whitening.whiten(table(spark, sf_dir, "embeddings"))
     return out.withColumn("deviation", F.col("deviation").try_cast("long"))
@@ -174,6 +179,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit": packed,
     "op10_top_k": nearest,
     "op11_hard_negatives": mined,
+    "op12_html_extract": article,
     "op13_whitening": whitened,
 }
 
