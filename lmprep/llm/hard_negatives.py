@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lmprep.cluster import shuffle_partitions
+from lmprep.llm.best import LOWEST, Best, growing
 from lmprep.llm.store import written
 from lmprep.llm.vectors import longest, matrix
 
@@ -28,9 +30,6 @@ from lmprep.llm.vectors import longest, matrix
 ANCHORS, CANDIDATES, STRIPE = 256, 4096, 16
 #: Dimensions of a table: one byte of a bit plane.
 GROUP = 8
-#: Candidates looked up at once; chunks grow up to it, so that the first few raise the bar for the rest.
-CHUNK = 512
-_LOWEST = np.iinfo(np.int64).min
 
 
 class Tables:
@@ -79,40 +78,6 @@ def bit_planes(x: np.ndarray) -> np.ndarray:
     return out
 
 
-class Best:
-    """The best ``k`` (score, id) of each slot: higher scores first, then lower ids."""
-
-    def __init__(self, slots: int, k: int):
-        self.scores = np.full((slots, k), _LOWEST, np.int64)
-        self.ids = np.full((slots, k), np.iinfo(np.int64).max, np.int64)
-
-    def bar(self) -> np.ndarray:
-        return self.scores[:, -1]
-
-    def offer(self, slots: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Entries in any order, as many per slot as wanted."""
-        if not len(slots):
-            return
-        touched, at = np.unique(slots, return_inverse=True)
-        k = self.scores.shape[1]
-        at = np.r_[at, np.repeat(np.arange(len(touched)), k)]
-        scores = np.r_[scores, self.scores[touched].ravel()]
-        ids = np.r_[ids, self.ids[touched].ravel()]
-        order = np.lexsort((ids, ~scores, at))
-        at, scores, ids = at[order], scores[order], ids[order]
-        place = np.arange(len(at)) - np.searchsorted(at, at)
-        kept = place < k
-        self.scores[touched[at[kept]], place[kept]] = scores[kept]
-        self.ids[touched[at[kept]], place[kept]] = ids[kept]
-
-
-def _chunks(count: int) -> Iterator[slice]:
-    start, size = 0, 32
-    while start < count:
-        yield slice(start, min(count, start + size))
-        start, size = start + size, min(2 * size, CHUNK)
-
-
 _BLOCK = pa.schema([("ids", pa.list_(pa.int64())), ("labels", pa.list_(pa.int64())), ("planes", pa.binary()), ("depth", pa.int32())])
 
 
@@ -142,10 +107,10 @@ def _candidate_blocks(rows: DataFrame, count: int, width: int, size: int) -> Dat
 
 def _met(anchors: DataFrame, candidates: DataFrame, run, schema: str) -> DataFrame:
     """Every block of anchors with every stripe of candidate blocks, one group of rows for each such pair."""
-    n_anchors, n_blocks = max(1, -(-anchors.count() // ANCHORS)), max(1, candidates.count())
-    partitions = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_anchors = max(1, -(-anchors.count() // ANCHORS))
+    blocks = max(1, -(-candidates.agg(F.sum(F.size("ids"))).first()[0] // CANDIDATES)) if candidates.count() else 1
     # stripes are short where otherwise too few pairs would keep all cores at work
-    stripes = max(-(-n_blocks // STRIPE), min(n_blocks, -(-3 * partitions // n_anchors)))
+    stripes = max(-(-blocks // STRIPE), min(blocks, -(-3 * shuffle_partitions(anchors.sparkSession) // n_anchors)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = anchors.withColumn("anchors", F.pmod(F.xxhash64("id"), F.lit(n_anchors)).cast("int")).withColumn("stripe", every(stripes))
     offered = candidates.withColumn("stripe", F.pmod("block", F.lit(stripes)).cast("int")).withColumn("anchors", every(n_anchors))
@@ -173,19 +138,19 @@ def _positives(anchors: DataFrame, candidates: DataFrame, k: int, width: int) ->
             return pd.DataFrame({"anchor_id": [], "id": [], "score": []}).astype("int64")
         asked, x = _rows(asked, width)
         ids, labels = asked.id.to_numpy(), asked.label.to_numpy()
-        tables, best = Tables(x), Best(len(ids), k)
+        tables, best = Tables(x), Best(len(ids), k, np.int64)
         for c_ids, c_labels, planes in _in_order(offered, width):
             for label in np.intersect1d(labels, c_labels):
                 first, last = np.searchsorted(labels, [label, label + 1])
                 own = np.flatnonzero(c_labels == label)
-                for chunk in _chunks(len(own)):
+                for chunk in growing(len(own)):
                     rows = own[chunk]
                     scores = tables.scores(planes[:, :, rows], first, last)
                     r, s = np.nonzero(scores > best.bar()[first:last])  # ids rise, so a tie comes too late
                     other = c_ids[rows[r]] != ids[first + s]
                     r, s = r[other], s[other]
                     best.offer(first + s, scores[r, s].astype(np.int64), c_ids[rows[r]])
-        found = best.scores > _LOWEST
+        found = best.scores > LOWEST
         return pd.DataFrame({"anchor_id": np.repeat(ids, found.sum(axis=1)), "id": best.ids[found], "score": best.scores[found]})
 
     met = _met(anchors, candidates, run, "anchor_id long, id long, score long")
@@ -210,12 +175,12 @@ def _negatives(anchors: DataFrame, candidates: DataFrame, k: int, slots: int, lo
         positives[real], wanted[real] = np.concatenate(asked.positives.tolist()), np.concatenate(asked.scores.tolist())
         # low * wanted <= 100 * score <= high * wanted; an empty slot's window is empty
         least, most = np.where(real, -(-low * wanted // 100), 1), np.where(real, high * wanted // 100, 0)
-        tables, best = Tables(x), Best(wanted.size, k)
+        tables, best = Tables(x), Best(wanted.size, k, np.int64)
         for c_ids, c_labels, planes in _in_order(offered, width):
-            for chunk in _chunks(len(c_ids)):
+            for chunk in growing(len(c_ids)):
                 scores = tables.scores(planes[:, :, chunk])
                 bar = best.bar().reshape(wanted.shape)
-                floor = np.where(bar > _LOWEST, np.maximum(least, bar + 1), least)  # ids rise, so a tie comes too late
+                floor = np.where(bar > LOWEST, np.maximum(least, bar + 1), least)  # ids rise, so a tie comes too late
                 r, s = np.nonzero((scores >= floor.min(axis=1)) & (scores <= most.max(axis=1)))
                 other = c_labels[chunk][r] != labels[s]
                 r, s = r[other], s[other]
@@ -223,7 +188,7 @@ def _negatives(anchors: DataFrame, candidates: DataFrame, k: int, slots: int, lo
                 for j in range(slots):
                     useful = (score >= floor[s, j]) & (score <= most[s, j])
                     best.offer(s[useful] * slots + j, score[useful], own[useful])
-        found = best.scores > _LOWEST
+        found = best.scores > LOWEST
         slot = np.repeat(np.arange(wanted.size), found.sum(axis=1))
         columns = ids[slot // slots], positives.ravel()[slot], wanted.ravel()[slot], best.ids[found], best.scores[found]
         return pd.DataFrame(dict(zip(names, columns)))

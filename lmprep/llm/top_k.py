@@ -3,7 +3,8 @@
 Queries and data are dealt into blocks of near vectors; each block holds a cover tree. A node has a centre, which is one of its points, and
 a radius that covers all of them; the children's centres lie farther apart than the radius they cover. For a
 pair of nodes no inner product exceeds ``cq.cd + |cq| rd + |cd| rq + rq rd``; the pair is left out if that is below the worst k-th score of
-the queries under its query node. Pairs are visited best bound first.
+the queries under its query node. Pairs are visited best bound first. A node whose points are too scattered for children of a leaf's
+size on average is a leaf itself: a pair of leaves is one matrix product, of which only scores above the bar are looked at.
 
 Every query block meets every data block, dealt in stripes of a few data blocks to a task; within a stripe a task carries
 its k-th scores on. Of equal vectors only the ``k + 1`` least ids can be in a result, so the others are left out first.
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lmprep.llm.best import Best, growing
 from lmprep.llm.store import written
 
 #: Vectors of a block, of a leaf, and data blocks of a stripe.
@@ -27,7 +29,6 @@ QUERY_BLOCK, DATA_BLOCK, LEAF, STRIPE = 512, 2048, 48, 16
 #: The radius that children cover, as a part of their parent's.
 SHRINK = 1 / 1.5
 _CODE_BITS = 12
-_NO_ID = np.iinfo(np.int64).max
 
 
 class CoverTree:
@@ -66,13 +67,16 @@ class CoverTree:
             own = points[index]
             cover = (self.radius[node] * SHRINK) ** 2
             centres, nearest, owner = [], np.full(len(own), np.inf), np.zeros(len(own), int)
+            most = len(own) // self.leaf
             far = int(np.flatnonzero(index == self.centre[node])[0])  # a node's centre is its first child's too
-            while nearest.max() > cover or not centres:
+            while (nearest.max() > cover or not centres) and len(centres) <= most:
                 distance = ((own - own[far]) ** 2).sum(axis=1)
                 closer = distance < nearest
                 owner[closer], nearest[closer] = len(centres), distance[closer]
                 centres.append(int(index[far]))
                 far = int(nearest.argmax())
+            if len(centres) > most:
+                continue  # too scattered: children would hold less than a leaf each, a matrix product is cheaper
             sizes = np.bincount(owner, minlength=len(centres))
             self.order[start:end] = index[np.argsort(owner, kind="stable")]
             cuts = start + np.r_[0, np.cumsum(sizes)]
@@ -81,26 +85,6 @@ class CoverTree:
                 todo.append(self._add(points, int(a), int(b), c))
 
 
-class Best:
-    """The best ``k`` (score, id) of each query: higher scores first, then lower ids."""
-
-    def __init__(self, queries: int, k: int):
-        self.k = k
-        self.scores = np.full((queries, k), -np.inf)
-        self.ids = np.full((queries, k), _NO_ID, np.int64)
-
-    def offer(self, start: int, end: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        useful = (scores >= self.scores[start:end, -1:]).any(axis=0)
-        if not useful.any():
-            return
-        scores, ids = scores[:, useful], ids[useful]
-        scores = np.hstack([self.scores[start:end], scores])
-        ids = np.hstack([self.ids[start:end], np.broadcast_to(ids, (end - start, len(ids)))])
-        order = np.lexsort((ids, -scores), axis=-1)[:, : self.k]
-        self.scores[start:end] = np.take_along_axis(scores, order, axis=1)
-        self.ids[start:end] = np.take_along_axis(ids, order, axis=1)
-
-
 def search(queries: CoverTree, data: CoverTree, ids: np.ndarray, best: Best) -> int:
     """Offer every point of ``data`` that may be among the best; ``ids`` are in tree order. Returns the scores computed."""
     if not len(queries.points) or not len(data.points):
@@ -116,15 +100,17 @@ def search(queries: CoverTree, data: CoverTree, ids: np.ndarray, best: Best) ->
     while todo:
         bound, q, d = todo.pop()
         start, end = queries.start[q], queries.end[q]
-        worst = best.scores[start:end, -1].min()
+        worst = best.bar()[start:end].min()
         if bound < worst:
             continue
         split_q, split_d = queries.children[q] > 0, data.children[d] > 0
         if not split_q and not split_d:
-            points = data.points[data.start[d] : data.end[d]]
-            scores = queries.points[start:end] @ points.T
-            computed += scores.size
-            best.offer(start, end, scores, ids[data.start[d] : data.end[d]])
+            points, own = data.points[data.start[d] : data.end[d]], ids[data.start[d] : data.end[d]]
+            for part in growing(len(points)):
+                scores = points[part] @ queries.points[start:end].T
+                r, s = np.nonzero(scores >= best.bar()[start:end])
+                best.offer(start + s, scores[r, s], own[part][r])
+                computed += scores.size
             continue
         if split_d and (not split_q or data.radius[d] >= queries.radius[q]):
             ds = np.arange(data.first[d], data.first[d] + data.children[d])
