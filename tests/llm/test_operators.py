@@ -130,7 +130,7 @@ def _random_family(rng: random.Random, n: int) -> dict[int, str]:
 
 def test_similarity_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "CROWD", 4)
-    monkeypatch.setattr(jaccard, "TOGETHER", 10)
+    monkeypatch.setattr(jaccard, "CHUNK_DOCS", 50)
     texts = _random_family(random.Random(5), 500) | {1000 + i: t for i, t in enumerate(brute.TEXTS)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(df).collect()}
