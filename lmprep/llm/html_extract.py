@@ -237,10 +237,12 @@ def train(table: DataFrame, html: str = "html", sample: int = SAMPLE, layouts: i
     """A model for ``table``: ``layouts`` made-up pages, and the ``sample`` pages with the least hashes among those that label themselves."""
     text = F.col(f"`{html}`")
     says = text.isNotNull() & F.lower(text).rlike(r"<(article|main)\b|articlebody|role=.?main")
-    found = table.where(says).select(text.alias("html"), F.xxhash64(text).alias("hash")).orderBy("hash", F.length("html")).limit(sample)
+    able = table.where(says).select(text.alias("html"), F.xxhash64(text).alias("hash"))
+    least = [r["hash"] for r in able.select("hash").distinct().orderBy("hash").limit(sample).collect()]  # hashes alone, pages later
+    found = able.where(F.col("hash") <= max(least, default=0)).dropDuplicates(["hash"]) if least else able.limit(0)
     pages = [parse(p) for p in labelled_pages(layouts)]
     labelled = [(p, marked_states(p)) for p in pages]
-    own = [parse(r["html"]) for r in found.collect()]  # at most ``sample``
+    own = [parse(r["html"]) for r in found.orderBy("hash").collect()]  # at most ``sample``
     labelled += [(p, s) for p in own if (s := own_states(p)) is not None]
     return fit(labelled)
 
