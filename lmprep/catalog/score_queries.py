@@ -251,6 +251,35 @@ def g6_flag(spark, sf):
     return flagged.select("doc_id", "contaminated")
 
 
+@query("g6_past_the_bound", f"SELECT doc_id, text FROM documents WHERE doc_id NOT IN ({_SQL_HITS})")
+def g6_past(spark, sf):
+    """With no room for a broadcast: the filter and the shuffle of hashes."""
+    return decontaminate.decontaminate(*_train_and_queries(spark, sf), limit=0)
+
+
+SHORT = 5
+
+
+_SQL_SENTENCES = "(SELECT item_id, unnest(regexp_split_to_array(text, '[.?!]')) AS text FROM benchmark)"
+
+
+@query(
+    "g6_short_queries",
+    f"""WITH q AS (
+      SELECT DISTINCT array_to_string(w, ' ') AS phrase FROM (SELECT {_SQL_WORDS} AS w FROM {_SQL_SENTENCES})
+      WHERE len(w) BETWEEN {SHORT} AND 12
+    ), d AS (SELECT doc_id, ' ' || array_to_string({_SQL_WORDS}, ' ') || ' ' AS line FROM documents)
+    SELECT doc_id FROM d JOIN q ON contains(line, ' ' || phrase || ' ')
+    UNION
+    SELECT doc_id FROM ({_sql_grams('doc_id', 'documents')}) WHERE gram IN (SELECT gram FROM ({_sql_grams('item_id', _SQL_SENTENCES)}))""",
+)
+def g6_short(spark, sf):
+    """Sentences of the benchmark as queries, most of them too short for an n-gram."""
+    train, items = _train_and_queries(spark, sf)
+    sentences = items.select(F.explode(F.split("query", "[.?!]")).alias("query"))
+    return decontaminate.contaminated_keys(train, sentences, min_words=SHORT)
+
+
 @query("g7_pair_sentences", SQL_PARALLEL)
 def g7(spark, sf):
     return parallel(spark, sf)

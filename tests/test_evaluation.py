@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lmprep.operators.decontaminate import contaminated_keys, decontaminate
+from lmprep.operators.decontaminate import _bloom_filter, contaminated_keys, decontaminate
 from lmprep.operators.fewshot import add_fewshot
 from lmprep.operators.pairs import add_reverse, language_pairs, pair_sentences
 from lmprep.plans.evaltasks import build_eval_tasks, build_language_tasks, read_eval_docs
@@ -38,6 +38,24 @@ def test_planted_copies_are_found_both_ways(spark, limit):
         decontaminate(train, queries, mode="other")
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_short_queries_are_found_as_whole_phrases(spark, limit):
+    train = corpus(spark).union(spark.createDataFrame([(6, "so w1 W2, w3 w4 w5"), (7, "w1 w2 w3 w4 w55"), (8, None)], "doc_id int, text string"))
+    queries = spark.createDataFrame([("w1 w2 w3 w4 w5",), ("w9 w1",), (words(100, 113),), (None,), ("",)], "query string")
+    found = lambda **x: {r.doc_id for r in contaminated_keys(train, queries, limit=limit, **x).collect()}
+    assert found() == {1, 3} and found(min_words=5) == {0, 1, 3, 6} and found(min_words=6) == {1, 3}
+    assert contaminated_keys(train, queries.where("false"), limit=limit, min_words=1).count() == 0
+    assert contaminated_keys(train.where("false"), queries, limit=limit, min_words=1).count() == 0
+
+
+def test_few_hashes_pass_the_filter(spark):
+    hashes = spark.range(2000).select(F.xxhash64("id").alias("hash"))
+    passes = _bloom_filter(hashes, 2000)
+    assert hashes.where(passes(F.col("hash"))).count() == 2000
+    others = spark.range(10_000, 60_000).select(F.xxhash64("id").alias("hash"))
+    assert others.where(passes(F.col("hash"))).count() < 1500
+
+
 def test_pairs_and_tasks(spark):
     src = ["eng_Latn", "est_Latn", "rus_Cyrl"]
     tgt = ["vro_Latn", "liv_Latn", "kpv_Cyrl", "est_Latn", "fin_Latn"]
