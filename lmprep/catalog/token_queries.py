@@ -230,7 +230,13 @@ def d12_sharded(spark, sf):
 
 @query("d12_pack_one_buffer", f"{_sql_packed(LIMIT, shards=3, greedy=False)} {_SQL_CHUNKS} FROM c")
 def d12_one(spark, sf):
-    return packed(spark, sf, shards=3, num_sequences=2**40)
+    return packed(spark, sf, shards=3, num_sequences=2**40, block_rows=64)
+
+
+@query("d12_pack_wide_buffers", f"{_sql_packed(20 * LIMIT, shards=3)} {_SQL_CHUNKS} FROM c")
+def d12_wide(spark, sf):
+    """Links between documents, doubled, as for buffers of any number of documents."""
+    return packed(spark, sf, shards=3, num_sequences=20 * NUM_SEQUENCES, block_rows=64, widest=0)
 
 
 @query(

@@ -5,7 +5,8 @@ on the one before. The chain is followed in parallel: every block of consecutive
 summed up as a function from "characters already in the open buffer" to the same number at its end.
 That function is a short table, since only documents inside the first buffer length of a block
 can be its first start. Tables compose, ``FAN_IN`` blocks at a time, up a tree; the known
-start (an empty buffer) then goes back down. Only key, characters and token counts take part.
+start (an empty buffer) then goes back down. Only key, characters and token counts take part. Buffers too wide for
+such tables are found by doubling links (``wide_buffers``).
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ from lmprep.functions.text import hash_shard, seeded_order
 from lmprep.functions.tokenizers import Tokenizer, concat_id
 from lmprep.operators.indexing import index_keys
 from lmprep.operators.sampling import head
+from lmprep.operators.wide_buffers import assign_wide
 
 BLOCK_ROWS = 262_144
 FAN_IN = 512
+#: Documents of a buffer, on average, up to which tables of steps are used.
+WIDEST = 1 << 16
 
 
 def chars_per_token(df: DataFrame, tok: Tokenizer, n: int = 500, order_key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -86,9 +90,14 @@ def _bounded(s: Steps, limit: float) -> Steps:
 
 def then(a: Steps, b: Steps, limit: float) -> Steps:
     """``a`` followed by ``b``."""
-    onward = [b.apply(int(c), limit) for c in a.left]
-    left = np.array([c for c, _ in onward], dtype=np.int64)
-    opened = a.opened + np.array([k for _, k in onward], dtype=np.int64)
+    at = np.searchsorted(b.before, limit - a.left, side="left")
+    starts = at < len(b.before)  # a buffer opens inside ``b``
+    at = np.where(starts, at, 0)
+    if len(b.before):
+        left = np.where(starts, b.left[at], a.left + b.total)
+        opened = a.opened + np.where(starts, b.opened[at] + 1, 0)
+    else:
+        left, opened = a.left + b.total, a.opened
     return _bounded(
         Steps(
             np.concatenate([a.before, b.before + a.total]),
@@ -176,16 +185,21 @@ def assign_buffers(
     shards: int = 1,
     block_rows: int = BLOCK_ROWS,
     fan_in: int = FAN_IN,
+    widest: int = WIDEST,
 ) -> DataFrame:
     """Add ``buffer_id`` to ``(shard, order_key, n_chars, n_tokens)`` rows by the greedy rule.
 
     Also adds ``_block`` and ``_ahead``, the tokens of earlier documents of the same buffer and block.
-    ``meta`` is read more than once, so it should be a written table.
+    ``meta`` is read more than once, so it should be a written table. Where a buffer takes more than ``widest`` documents on average, tables of
+    steps would be as long, and links between documents are doubled instead.
     """
+    sums = meta.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars")).first()
     indexed = index_keys(meta, [order_key], ["shard"], "_idx").withColumn(
         "_block", F.floor(F.col("_idx") / block_rows).cast("long")
     )
-    n_blocks = 1 if meta.count() <= block_rows else indexed.agg(F.max("_block")).first()[0] + 1
+    if sums["n"] > block_rows and sums["n"] * limit > widest * sums["chars"]:
+        return assign_wide(indexed, math.ceil(limit), sums["chars"] / sums["n"]).select(*meta.columns, "_block", "buffer_id", "_ahead")
+    n_blocks = 1 if sums["n"] <= block_rows else indexed.agg(F.max("_block")).first()[0] + 1
     if n_blocks > 1:
         entries = _block_entries(indexed, n_blocks, limit, fan_in).withColumnRenamed("node", "_block")
         placed = indexed.join(broadcast_within(entries, n_blocks * shards), ["shard", "_block"])
@@ -293,6 +307,7 @@ def pack_documents(
     default_concat_id: int = 0,
     block_rows: int = BLOCK_ROWS,
     fan_in: int = FAN_IN,
+    widest: int = WIDEST,
 ) -> Packed:
     """Pack documents in key order; with ``shards`` each shard is a pass of its own.
 
@@ -316,7 +331,7 @@ def pack_documents(
     # written first: range sorting samples its input, which must not be a second pass over the texts
     meta = reliable(counted.withColumn("shard", hash_shard(F.col(order_key), shards)))
     limit = seq_len * chars_per_token * num_sequences
-    assigned = reliable(assign_buffers(meta, limit, order_key, shards, block_rows, fan_in))
+    assigned = reliable(assign_buffers(meta, limit, order_key, shards, block_rows, fan_in, widest))
     placed = _place(assigned, seq_len)
     buffers = placed.groupBy("shard", "buffer_id").agg(
         F.count("*").alias("n_documents"),

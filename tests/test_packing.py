@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lmprep.functions.tokenizers import CodepointTokenizer
+from lmprep.operators import wide_buffers
 from lmprep.operators.packing import (
     chars_per_token, pack_documents, pack_sequences, steps_of_documents, then,
 )
@@ -36,6 +37,21 @@ def test_equals_sequential_pass(spark, block_rows, fan_in, num_sequences):
     assert collected(got) == models.chunks(texts, 16, 16 * 1.5 * num_sequences)
 
 
+@pytest.mark.parametrize("block_rows,num_sequences,bin_rows", [(7, 1, 3), (7, 4, 1), (20, 40, 50), (1, 2**40, 4)])
+def test_wide_buffers_equal_the_sequential_pass(spark, monkeypatch, block_rows, num_sequences, bin_rows):
+    monkeypatch.setattr(wide_buffers.assign_wide, "__defaults__", (bin_rows,))
+    texts = random_texts(60, 6)
+    got = pack_sequences(
+        docs(spark, texts), TOK, 16, num_sequences=num_sequences, chars_per_token=1.5, block_rows=block_rows, widest=0
+    )
+    assert collected(got) == models.chunks(texts, 16, 16 * 1.5 * num_sequences)
+
+
+def test_wide_buffers_of_empty_documents(spark):
+    got = pack_sequences(docs(spark, [""] * 40), TOK, 16, num_sequences=4, chars_per_token=1.5, block_rows=5, widest=0)
+    assert collected(got) == models.chunks([""] * 40, 16, 16 * 1.5 * 4)
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_block_functions_compose(seed):
     rng = random.Random(seed)
