@@ -12,6 +12,7 @@ from lmprep.functions.templates import instruction_prompt
 from lmprep.functions.text import hex_bounds, seeded_order
 from lmprep.operators import batching, labels, mixing, packing, sampling
 from lmprep.operators.indexing import index_keys
+from lmprep.sources import readers
 
 SEQ_LEN = 2048
 NUM_SEQUENCES = 16
@@ -180,7 +181,7 @@ def d11(spark, sf):
     return ids.select("doc_id", fx.TOK.decode(F.col("ids")).alias("text"))
 
 
-def _sql_packed(limit: float, shards: int = 1, greedy: bool = True) -> str:
+def _sql_packed(limit: float, shards: int = 1, greedy: bool = True, documents: str = "documents") -> str:
     """Buffers by a recursive walk over the documents, or one buffer per shard."""
     shard = "0" if shards == 1 else f"('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % {shards}"
     walk = f"""
@@ -195,11 +196,11 @@ w AS (
     return f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, ({shard})::INTEGER AS shard, length(text) AS n_chars,
-         row_number() OVER (PARTITION BY {shard} ORDER BY doc_id) - 1 AS i FROM documents),
+         row_number() OVER (PARTITION BY {shard} ORDER BY doc_id) - 1 AS i FROM {documents}),
 {walk},
 b AS (
   SELECT shard, buffer_id, flatten(list({fx.sql_ids('text')} || [2] ORDER BY d.i)) AS ids
-  FROM w JOIN d USING (shard, i) JOIN documents USING (doc_id) GROUP BY shard, buffer_id),
+  FROM w JOIN d USING (shard, i) JOIN {documents} t USING (doc_id) GROUP BY shard, buffer_id),
 c AS (
   SELECT shard, buffer_id, chunk_id, ids[chunk_id * {SEQ_LEN} + 1 : (chunk_id + 1) * {SEQ_LEN}] AS ids
   FROM (SELECT *, unnest(range(0, len(ids) // {SEQ_LEN})) AS chunk_id FROM b))
@@ -233,6 +234,43 @@ def d12_one(spark, sf):
     return packed(spark, sf, shards=3, num_sequences=2**40, block_rows=64)
 
 
+@query(
+    "d12_pack_source_order",
+    f"{_sql_packed(LIMIT, documents='(SELECT row_number() OVER () - 1 AS doc_id, text FROM documents)')} {_SQL_CHUNKS} FROM c",
+)
+def d12_source_order(spark, sf):
+    """A corpus of which only the text is read, in the order of its files."""
+    (docs,) = readers.scan_raw_text(spark, f"{sf}/documents.parquet", order_key=None).values()
+    chunks = packing.pack_sequences(
+        docs, fx.TOK, SEQ_LEN, num_sequences=NUM_SEQUENCES, chars_per_token=1.0, order_key=readers.SOURCE_KEY
+    )
+    return chunks.drop("labels").withColumn("input_ids", fx.joined("input_ids"))
+
+
+_SQL_SOME_NULL = "(SELECT doc_id, CASE WHEN lang = 'fr' THEN NULL ELSE text END AS text FROM documents)"
+
+
+@query(
+    "b10_null_text_quarantine",
+    f"SELECT 'rejected' AS kind, doc_id, NULL::BIGINT AS n FROM {_SQL_SOME_NULL} WHERE text IS NULL "
+    f"UNION ALL SELECT 'packed', NULL, count(text) FROM {_SQL_SOME_NULL} "
+    f"UNION ALL SELECT 'documents', NULL, count(*) FROM {_SQL_SOME_NULL} "
+    f"UNION ALL SELECT 'null texts', NULL, count_if(text IS NULL)::BIGINT FROM {_SQL_SOME_NULL}",
+)
+def b10(spark, sf):
+    """French texts taken away: what is packed, what is set aside, and the counts of the pass."""
+    text = F.when(F.col("lang") == "fr", F.lit(None)).otherwise(F.col("text"))
+    docs = fx.table(spark, sf, "documents").select("doc_id", text.alias("text"))
+    done = packing.pack_documents(docs, fx.TOK, SEQ_LEN, num_sequences=NUM_SEQUENCES, chars_per_token=1.0)
+    none = F.lit(None).cast("long")
+    kind = lambda name: F.lit(name).alias("kind")
+    out = done.rejected.select(kind("rejected"), "doc_id", none.alias("n"))
+    out = out.unionByName(done.buffers.agg(F.sum("n_documents").alias("n")).select(kind("packed"), none.alias("doc_id"), "n"))
+    for name, n in (("documents", done.counts["documents"]), ("null texts", done.counts["null_texts"])):
+        out = out.unionByName(spark.range(1).select(kind(name), none.alias("doc_id"), F.lit(n).cast("long").alias("n")))
+    return out
+
+
 @query("d12_pack_wide_buffers", f"{_sql_packed(20 * LIMIT, shards=3)} {_SQL_CHUNKS} FROM c")
 def d12_wide(spark, sf):
     """Links between documents, doubled, as for buffers of any number of documents."""

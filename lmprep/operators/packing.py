@@ -227,10 +227,15 @@ def assign_buffers(
 
 @dataclass(frozen=True)
 class Packed:
-    """Result of packing: the chunks, and one summary row per buffer."""
+    """Result of packing: the chunks, one summary row per buffer, the keys of documents without a text, and counts.
+
+    ``counts`` has ``documents`` and ``null_texts``, taken in the pass that makes the plan.
+    """
 
     chunks: DataFrame
     buffers: DataFrame
+    rejected: DataFrame
+    counts: dict[str, int]
 
 
 def _place(assigned: DataFrame, seq_len: int) -> DataFrame:
@@ -308,14 +313,19 @@ def pack_documents(
     block_rows: int = BLOCK_ROWS,
     fan_in: int = FAN_IN,
     widest: int = WIDEST,
+    null_text: str = "quarantine",
 ) -> Packed:
     """Pack documents in key order; with ``shards`` each shard is a pass of its own.
 
+    A document whose text is null is not packed: its key is among the ``rejected``, or ``null_text="raise"`` makes it an error.
+
     ``formatting`` maps the frame to the text column to pack. Tokens are made once per document, after
     the plan is fixed for the built-in tokenizer and before it for a model tokenizer.
     """
     source = formatting(df) if formatting else F.col(text)
-    docs = df.select(order_key, source.alias("_text")).where(F.col("_text").isNotNull())
+    if null_text not in ("quarantine", "raise"):
+        raise ValueError(f"unknown mode for null texts: {null_text}")
+    docs = df.select(order_key, source.alias("_text"))
     end = F.array(F.lit(concat_id(tok, default_concat_id)))
     ids = F.concat(tok.encode(F.col("_text")), end)
     if tok.prefix_stable:
@@ -329,7 +339,12 @@ def pack_documents(
         ids = F.col("_ids")
         counted = docs.select(order_key, "n_chars", F.size("_ids").cast("long").alias("n_tokens"))
     # written first: range sorting samples its input, which must not be a second pass over the texts
-    meta = reliable(counted.withColumn("shard", hash_shard(F.col(order_key), shards)))
+    known = reliable(counted.withColumn("shard", hash_shard(F.col(order_key), shards)))
+    null = F.col("n_chars").isNull()
+    counts = known.agg(F.count("*").alias("documents"), F.count_if(null).alias("null_texts")).first().asDict()
+    if counts["null_texts"] and null_text == "raise":
+        raise ValueError(f"{counts['null_texts']} of {counts['documents']} documents have no text")
+    meta = known.where(~null)
     limit = seq_len * chars_per_token * num_sequences
     assigned = reliable(assign_buffers(meta, limit, order_key, shards, block_rows, fan_in, widest))
     placed = _place(assigned, seq_len)
@@ -340,7 +355,7 @@ def pack_documents(
         F.max("_n_chunks").alias("n_chunks"),
         (F.sum("n_tokens") - F.max("_n_chunks") * seq_len).alias("n_dropped_tokens"),
     )
-    return Packed(_cut(docs, ids, placed, order_key, seq_len), buffers)
+    return Packed(_cut(docs, ids, placed, order_key, seq_len), buffers, known.where(null).select(order_key), counts)
 
 
 def pack_sequences(

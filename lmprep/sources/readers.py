@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,16 +84,39 @@ def read_prompts(spark: SparkSession, spec: str | None, schema: T.StructType | N
     return read_spec(spark, parsed, schema)
 
 
+#: Order key of a corpus that has none of its own.
+SOURCE_KEY = "source_key"
+
+
+def with_source_key(df: DataFrame, name: str = SOURCE_KEY) -> DataFrame:
+    """Add the place of each row in its Parquet files, (file, row), which sorts as the files lie.
+
+    It does not depend on how the files are split over tasks, nor on filters. ``df`` must read Parquet files directly; other
+    sources do not number their rows and raise ``ValueError``.
+    """
+    if name in df.columns:
+        raise ValueError(f"the source has a column {name} already")
+    try:
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        return df.select("*", place.alias(name))
+    except AnalysisException as e:
+        raise ValueError("only rows of Parquet files have a place; give an order key") from e
+
+
 def scan_raw_text(
-    spark: SparkSession, specs: str, split: str = "train", order_key: str = "doc_id", text: str = "text"
+    spark: SparkSession, specs: str, split: str = "train", order_key: str | None = "doc_id", text: str = "text"
 ) -> dict[str, DataFrame]:
-    """One lazy two-column scan per corpus of a comma list."""
+    """One lazy two-column scan per corpus of a comma list.
+
+    With ``order_key`` None corpora need only a text; their rows are keyed by their place in the files, as ``source_key``.
+    """
     found = {}
     for i, spec in enumerate(parse_source_spec(specs, split, many=True)):
         name = spec.name.rstrip("/").rsplit("/", 1)[-1].removesuffix(".parquet")
         label = f"{name}:{spec.subset}" if spec.subset else name
         label = label if label not in found else f"{label}#{i}"
-        found[label] = read_spec(spark, spec).select(order_key, text)
+        rows = read_spec(spark, spec)
+        found[label] = rows.select(order_key, text) if order_key else with_source_key(rows).select(SOURCE_KEY, text)
     return found
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lmprep.functions.tokenizers import CodepointTokenizer
 from lmprep.operators import wide_buffers
+from lmprep.sources import readers
 from lmprep.operators.packing import (
     chars_per_token, pack_documents, pack_sequences, steps_of_documents, then,
 )
@@ -129,6 +130,38 @@ def test_formatting_and_null_text(spark):
     assert collected(got) == models.chunks(["A" * 20, "B" * 20], 8, 8 * 3.6 * 100)
 
 
+def test_null_texts_are_set_aside_and_counted(spark):
+    df = spark.createDataFrame([(0, "a" * 20), (1, None), (2, ""), (3, None)], "doc_id long, text string")
+    done = pack_documents(df, TOK, 8, num_sequences=100)
+    assert done.counts == {"documents": 4, "null_texts": 2} and sorted(r.doc_id for r in done.rejected.collect()) == [1, 3]
+    assert done.buffers.first().n_documents == 2
+    with pytest.raises(ValueError, match="2 of 4"):
+        pack_documents(df, TOK, 8, null_text="raise")
+    with pytest.raises(ValueError):
+        pack_documents(df, TOK, 8, null_text="other")
+    nothing = pack_documents(df.where("text IS NULL"), TOK, 8)
+    assert nothing.chunks.count() == 0 and nothing.counts["null_texts"] == 2
+
+
+def test_source_order_is_that_of_the_files(spark, tmp_path):
+    """Texts without any key, in files of several row groups and splits."""
+    texts = random_texts(90, 7)
+    for i in range(3):
+        part = spark.createDataFrame([(t,) for t in texts[30 * i : 30 * i + 30]], "text string").coalesce(1)
+        part.write.option("parquet.block.size", 512).parquet(str(tmp_path / f"corpus/part={i}"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        (corpus,) = readers.scan_raw_text(spark, str(tmp_path / "corpus"), order_key=None).values()
+        got = pack_sequences(corpus, TOK, 16, num_sequences=4, chars_per_token=1.5, order_key=readers.SOURCE_KEY, block_rows=7)
+        assert collected(got) == models.chunks(texts, 16, 16 * 1.5 * 4)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with pytest.raises(ValueError, match="place"):
+        readers.with_source_key(spark.range(3))
+    with pytest.raises(ValueError, match="already"):
+        readers.with_source_key(corpus)
+
+
 def test_chars_per_token(spark):
     df = docs(spark, ["abc", "de", "f"])
     row = chars_per_token(df, TOK, n=2).first()
