@@ -35,7 +35,7 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def conversations(spark: SparkSession, sf_dir: str, max_len: int | None = None) -> DataFrame:
-    return messages_from_turns(table(spark, sf_dir, "conversations"), max_len=max_len)
+    return messages_from_turns(table(spark, sf_dir, "conversations"), max_len=max_len, check_roles=max_len is not None)
 
 
 def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:

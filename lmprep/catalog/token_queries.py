@@ -32,6 +32,9 @@ def d2(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", fx.TOK.count(F.col("text")).alias("n_tokens"))
 
 
+#: Tokens of a training conversation.
+CHAT_LEN = 2048
+
 SQL_CHAT_LABELS = f"""
 WITH t AS (
   SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before,
@@ -45,16 +48,16 @@ s AS (
                 THEN {fx.sql_repeat(-100, 'len(head)')} ELSE head END ||
            CASE WHEN role <> 'assistant' THEN {fx.sql_repeat(-100, 'len(body)')} ELSE body END ORDER BY turn)) AS labels
   FROM t GROUP BY conv_id),
-n AS (SELECT conv_id, least(len({fx.sql_ids(fx.sql_strip('chat'))}), {MAX_LEN}) AS n FROM ({fx.SQL_CHAT})),
+n AS (SELECT conv_id, least(len({fx.sql_ids(fx.sql_strip('chat'))}), {CHAT_LEN}) AS n FROM ({fx.SQL_CHAT})),
 x AS (SELECT conv_id, ids[1:n] AS ids, labels[1:n] AS labels, n FROM s JOIN n USING (conv_id))
 """
 
 
 def chat_examples(spark, sf, batch_size=None):
-    convs = fx.conversations(spark, sf, max_len=MAX_LEN)
+    convs = fx.conversations(spark, sf, max_len=CHAT_LEN)
     if batch_size:
         convs = batching.make_batches(convs, batch_size, "conv_id")
-    return labels.mask_chat_labels(convs, fx.TOK, MAX_LEN).drop("messages")
+    return labels.mask_chat_labels(convs, fx.TOK, CHAT_LEN).drop("messages")
 
 
 def shown(df, *keep):

@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lmprep.functions.chat import valid_role
+
+#: Groups over which the turns of a conversation are dealt when the first are looked for.
+SALTS = 32
+
 
 def messages_from_turns(
     turns: DataFrame,
@@ -15,17 +20,27 @@ def messages_from_turns(
     role: str = "role",
     content: str = "text",
     max_len: int | None = None,
+    check_roles: bool = False,
+    salts: int = SALTS,
 ) -> DataFrame:
     """One row per conversation with ``messages`` in turn order.
 
     With ``max_len`` only the first ``max_len`` turns are gathered. Every message renders to at
-    least one token, so a training row cut at ``max_len`` tokens is the same either way, and
-    the rank filter is applied before the shuffle: a hot conversation stays bounded.
+    least one token, so a training row cut at ``max_len`` tokens is the same either way. The first turns are found in two steps:
+    among the turns of a conversation that share a salt, which deals a hot conversation over ``salts`` groups, and then among
+    what these have left, ``salts * max_len`` turns at most.
+
+    With ``check_roles`` a turn of no known role raises, also one behind the cut: roles are checked before turns are dropped.
     """
     keys = list(keys)
+    if check_roles:
+        known = F.when(valid_role(F.col(role)), F.col(role))
+        turns = turns.withColumn(role, known.otherwise(F.raise_error(F.lit("Invalid role")).cast("string")))
     if max_len is not None:
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(turn))
-        turns = turns.withColumn("_rank", rank).where(F.col("_rank") <= max_len).drop("_rank")
+        turns = turns.withColumn("_salt", F.pmod(F.xxhash64(turn), F.lit(salts)))
+        for group in ([*keys, "_salt"], keys):
+            rank = F.row_number().over(Window.partitionBy(*group).orderBy(turn))
+            turns = turns.withColumn("_rank", rank).where(F.col("_rank") <= max_len).drop("_rank")
     message = F.struct(
         F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(content).alias("content")
     )

@@ -94,6 +94,19 @@ def test_first_turns_suffice_for_a_cut_row(spark):
     assert mask_chat_labels(bounded, TOK, 64).drop("messages").exceptAll(whole).count() == 0
 
 
+def test_hot_conversation_is_dealt_out_before_the_cut(spark):
+    turns = [(0, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(5000)] + [(1, 0, "user", "u"), (None, 3, "user", "n")]
+    df = spark.createDataFrame(turns, "conv_id int, turn int, role string, text string").repartition(5)
+    bounded = messages_from_turns(df, max_len=2048, check_roles=True)
+    got = {r.conv_id: [m.turn for m in r.messages] for r in bounded.collect()}
+    assert got == {0: list(range(2048)), 1: [0], None: [3]}
+    plan = bounded._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(conv_id" in plan and "_salt" in plan.split("hashpartitioning(conv_id")[1]
+    late = df.union(spark.createDataFrame([(0, 9000, "moderator", "x")], df.schema))
+    with pytest.raises(Exception, match="Invalid role"):
+        messages_from_turns(late, max_len=2048, check_roles=True).collect()
+
+
 BAD = [[("user", "a")], [("moderator", "x"), ("user", "y")], [], [(None, "x")]]
 
 
