@@ -19,22 +19,26 @@ from lmprep.cluster import broadcast_within, reliable, shuffle_partitions
 _PARTITION_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
-def _tag_runs(keys: DataFrame, sort_columns: Sequence[str]) -> DataFrame:
-    ordered = keys.repartitionByRange(*sort_columns).sortWithinPartitions(*sort_columns)
-    tagged = reliable(ordered.withColumn("_at", F.monotonically_increasing_id()))
-    return tagged.select(
-        "*",
-        F.shiftright("_at", _PARTITION_BITS).cast("int").alias("_part"),
-        F.col("_at").bitwiseAND(F.lit((1 << _PARTITION_BITS) - 1)).alias("_pos"),
-    ).drop("_at")
-
+def _tag_runs(keys: DataFrame, within: list[str], order_by: list[str]) -> DataFrame:
+    """Keys in order, written, with their partition and place in it. A repeated or null key raises ``ValueError``.
 
-def _check_keys(keys: DataFrame, within: list[str], order_by: list[str]) -> None:
-    """Rows are joined back by key, so a repeated key would double rows and a null one lose them. Reads keys only."""
+    Dealt by range, equal keys lie in one partition, which is all that a window over a key asks; it sorts them
+    there, and repeats are numbered without another shuffle.
+    """
+    columns = [*within, *order_by]
+    ordered = keys.repartitionByRange(*columns)
+    repeat = F.row_number().over(Window.partitionBy(*columns).orderBy(*columns)) > 1
     null = reduce(or_, (F.col(c).isNull() for c in order_by))
-    bad = keys.groupBy(*within, *order_by).agg(F.count("*").alias("_rows")).where((F.col("_rows") > 1) | null).head()
+    tagged = reliable(ordered.withColumn("_bad", repeat | null).withColumn("_at", F.monotonically_increasing_id()))
+    bad = tagged.where("_bad").select(*columns).head()
     if bad is not None:
+        # rows are joined back by key: a repeated one would double rows and a null one lose them
         raise ValueError(f"order keys must be unique and not null, found {bad.asDict()}")
+    return tagged.select(
+        "*",
+        F.shiftright("_at", _PARTITION_BITS).cast("int").alias("_part"),
+        F.col("_at").bitwiseAND(F.lit((1 << _PARTITION_BITS) - 1)).alias("_pos"),
+    ).drop("_at", "_bad")
 
 
 def index_keys(
@@ -47,8 +51,7 @@ def index_keys(
     if "_part" in keys.columns or "_pos" in keys.columns:
         raise ValueError("columns _part and _pos are reserved")
     within = list(within)
-    tagged = _tag_runs(keys, [*within, *order_by])
-    _check_keys(tagged, within, list(order_by))
+    tagged = _tag_runs(keys, within, list(order_by))
     runs = tagged.groupBy("_part", *within).agg(F.count("*").alias("_n"), F.min("_pos").alias("_first"))
     earlier = Window.partitionBy(*(within or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = runs.select(
