@@ -163,10 +163,14 @@ def _numbered(pieces: DataFrame) -> DataFrame:
 def pack_best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (doc_id, piece, length and more) with ``sequence_id`` and ``offset``.
 
-    Lengths are 1 to ``capacity``. Every row is placed, rows that repeat included; null ids sort first. An empty table gives an
+    Other columns stay as they are, whatever their names, but for those two, which raise ``ValueError``. Lengths are 1 to ``capacity``. Every row is placed, rows that repeat included; null ids sort first. An empty table gives an
     empty one. Only the counts by length (at most ``capacity``) and the steps, whose number they bound, reach the driver.
     """
-    numbered = _numbered(written(pieces, "pieces"))  # range bounds are sampled: tokens must not be made twice
+    if taken := {"sequence_id", "offset"} & set(pieces.columns):
+        raise ValueError(f"columns {sorted(taken)} would be replaced")
+    # the row travels as one struct, so no column of ours can be taken for one of its own
+    row = F.struct(*(F.col(f"`{c}`") for c in pieces.columns)).alias("row")
+    numbered = _numbered(written(pieces.select("length", "doc_id", "piece", row), "pieces"))  # range bounds are sampled: tokens must not be made twice
     counts = {r["length"]: r["n"] for r in numbered.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if counts and not 1 <= min(counts) <= max(counts) <= capacity:
         raise ValueError(f"lengths must be 1 to {capacity}")
@@ -187,7 +191,7 @@ def pack_best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield struct({"sequence_id": sequence + i // per, "offset": offset + i % per * length}, types)
 
     placed = numbered.withColumn("placed", place("length", "number"))
-    return placed.select(*pieces.columns, "placed.sequence_id", "placed.offset")
+    return placed.select("row.*", "placed.sequence_id", "placed.offset")
 
 
 def sequences(placed: DataFrame) -> DataFrame:

@@ -36,11 +36,14 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 15),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
-#: Kinds that this scan adds: web tokens, code-host tokens, key blocks and passwords inside urls.
+#: Kinds that this scan adds: web tokens, code-host tokens and private keys, to the line that ends them where there is one.
 ADDED_RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", 15),
     Rule("host_token", r"(ghp|gho|ghs|ghu|ghr|glpat)[_\-][A-Za-z0-9_]+", 19),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule(
+        "private_key",
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(([A-Za-z0-9+/=:,\x20\x09\x0A\x0D]|-[A-Za-z0-9])*-----END [A-Z ]*PRIVATE KEY-----)?",
+    ),
 )
 RULES = BASE_RULES + ADDED_RULES
 
@@ -75,26 +78,41 @@ class Scanner:
         self.back = [a.rows()[0] for a in compiled.back]
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
-        """(start, end, rule number) in bytes, by start, then rule."""
-        row, ends = self.scan, []
-        for i, b in enumerate(data):
-            row = row[b]
-            if row[256]:
-                ends.append((i + 1, row[256]))
-        if not ends:
-            return []
+        """(start, end, rule number) in bytes, by start, then rule.
+
+        Behind a match the search for the rule starts afresh, so that no end is met whose start lies before: each byte is read a fixed
+        number of times for each rule that matches at all.
+        """
+        ends = self._first_ends(data)
         found = []
-        for rule, tail in enumerate(self.tails):
-            behind, bit = 0, 1 << rule
-            for end, marks in ends:
-                if marks & bit and end > behind:
-                    start = self._start(rule, data, end, behind)
-                    if start is not None:
-                        first, behind = self._reach(rule, data, start)
-                        if behind - first >= tail:
-                            found.append((start, behind, rule))
+        for rule, end in ends.items():
+            bit, behind, tail = 1 << rule, 0, self.tails[rule]
+            while end is not None:
+                start = self._start(rule, data, end, behind)
+                first, behind = self._reach(rule, data, start)
+                if behind - first >= tail:
+                    found.append((start, behind, rule))
+                end = self._next_end(data, behind, bit)
         return sorted(found, key=lambda x: (x[0], x[2]))
 
+    def _first_ends(self, data: bytes) -> dict[int, int]:
+        """Where each rule that matches may end first: the one pass of the combined automaton."""
+        row, seen, out = self.scan, 0, {}
+        for i, b in enumerate(data):
+            row = row[b]
+            if row[256] & ~seen:
+                fresh, seen = row[256] & ~seen, seen | row[256]
+                out |= {rule: i + 1 for rule in range(len(self.tails)) if fresh >> rule & 1}
+        return out
+
+    def _next_end(self, data: bytes, behind: int, bit: int) -> int | None:
+        row = self.scan
+        for i in range(behind, len(data)):
+            row = row[data[i]]
+            if row[256] & bit:
+                return i + 1
+        return None
+
     def _start(self, rule: int, data: bytes, end: int, least: int) -> int | None:
         row, start = self.back[rule], None
         for i in range(end - 1, least - 1, -1):

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -52,6 +53,40 @@ def test_secrets_are_replaced(spark):
     assert [r[0] for r in df.select(secret_scan.redact(df)).collect()] == ["a [assign] é [access]", None, "clean"]
 
 
+def test_secret_scan_is_linear_and_takes_whole_keys(spark):
+    scanner = secret_scan.Scanner(secret_scan.compile_scan(secret_scan.RULES))
+    text = "password: secret = " + "n" * 300_000
+    started = time.perf_counter()
+    assert scanner.named(text.encode()) == brute.secrets(text)
+    assert time.perf_counter() - started < 20
+    body = "\n".join("MIIEpAIBAAKCAQEA" * 4 for _ in range(20))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    rows = [(f"a {key} b {key} c",), ("-----BEGIN PRIVATE KEY----- and then nothing.",)]
+    df = spark.createDataFrame(rows, "text string")
+    got = [r[0] for r in df.select(secret_scan.redact(df)).collect()]
+    assert got == ["a [private_key] b [private_key] c", "[private_key] and then nothing."]
+
+
+def test_names_of_columns_are_kept(spark):
+    rows = [(1, 0, 700, 5, 6, 7, 8), (2, 0, 300, 1, 2, 3, 4)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long, at int, number int, part int, placed int")
+    got = sorted(tuple(r)[:7] for r in best_fit.pack_best_fit(pieces).collect())
+    assert got == rows
+    with pytest.raises(ValueError):
+        best_fit.pack_best_fit(pieces.withColumn("offset", F.lit(1)))
+    kept = spark.createDataFrame([(1, "a", 1), (2, "a", 2)], "doc_id long, text string, kept int")
+    assert [tuple(r) for r in jaccard.keep_one_each(kept).collect()] == [(1, "a", 1)]
+
+
+def test_many_lines_are_dropped_in_proportion(spark):
+    lines = [f"this is line {chr(97 + i % 26)}{i:x} of a passage".replace("0", "o") for i in range(40_000)]
+    lines = ["".join(c if not c.isdigit() else "klmnopqrst"[int(c)] for c in x) for x in lines]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join([*lines, "something new"]))], "doc_id long, text string")
+    started = time.perf_counter()
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_templates.drop_recurring(df).collect()}
+    assert got[2] == ("something new", 40_000) and got[1][1] == 0 and time.perf_counter() - started < 60
+
+
 def test_automaton_is_minimal():
     # strings over {a, b} that end in abb need four states
     assert len(compile_rules([parse("abb")], anywhere=True).marks) == 4
