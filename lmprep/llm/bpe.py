@@ -18,15 +18,16 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from lmprep.llm.arrow import struct, text_list
 
@@ -52,11 +53,38 @@ def _marked(token: str, suffix: str) -> str:
     return token
 
 
+#: A character of each kind that the split pattern knows; none takes part in a contraction.
+_KINDS = {"letter": "a", "number": "0", "other": "!"}
+
+
+@lru_cache
+def _shapes(pattern: str) -> dict[int, str]:
+    """Code points that Python or ``regex`` files under another kind than the library does, each with a stand-in of the
+    library's kind: they hold different versions of Unicode.
+
+    The library is asked about every code point between ``!`` and ``a``: it joins the one, the other, or neither.
+    """
+    split = pre_tokenizers.Split(Regex(pattern), behavior="removed", invert=True)
+    letter, number, space = map(regex.compile, (r"\p{L}", r"\p{N}", f"[{_SPACES}]"))
+    found = {}
+    for first in range(0x80, 0x110000, 0x800):
+        block = [c for c in range(first, min(first + 0x800, 0x110000)) if not 0xD800 <= c < 0xE000]
+        edges = {edge for _, spans in split.pre_tokenize_str("".join(f"!{chr(c)}a " for c in block)) for edge in spans}
+        for i, c in enumerate(block):
+            char, cut_before, cut_after = chr(c), 4 * i + 1 in edges, 4 * i + 2 in edges
+            kind = "number" if cut_before and cut_after else "letter" if cut_before else "other"
+            known = "letter" if letter.match(char) else "number" if number.match(char) else "other"
+            if not space.match(char) and (kind != known or char.isalpha() != (kind == "letter")):
+                found[c] = _KINDS[kind]
+    return found
+
+
 def compile_bpe(path: str) -> dict:
     """Plain tables of a tokenizer file with an end-of-word suffix, a split pattern and byte-level symbols."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model = spec["model"]
+    pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
     suffix = model["end_of_word_suffix"] or ""
     ids = {_marked(t, suffix): i for t, i in model["vocab"].items()}
     names = {i: t for t, i in model["vocab"].items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
@@ -82,7 +110,8 @@ def compile_bpe(path: str) -> dict:
         "shorter": shorter,
         "matcher": _matcher(usable),
         "special": {a["content"]: a["id"] for a in spec["added_tokens"]},
-        "pattern": spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", _SPACES),
+        "pattern": pattern.replace(r"\s", _SPACES),
+        "shapes": _shapes(pattern),
     }
 
 
@@ -182,7 +211,9 @@ class Encoder:
         self.pairs = _Pairs(tables["parts"], tables["ranks"])
         self.special = tables["special"]
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.words_in = regex.compile(tables["pattern"])
+        self.words_in, self.shapes = regex.compile(tables["pattern"]), tables["shapes"]
+        # the library's own tables of Unicode; Python's are of another version
+        self.normalized = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
         self.symbols = dict(enumerate(byte_symbols()))
         self.lengths, self.shorter = tables["lengths"], tables["shorter"]
         self.root = _nodes(tables["matcher"])
@@ -238,10 +269,15 @@ class Encoder:
         return array("I", self.word_ids(word[:-1] + chr(_END + ord(word[-1])))).tobytes()
 
     def _chunk_bytes(self, chunk: str) -> bytes:
-        """Ids of a piece without white space, four bytes each."""
-        if chunk.isalpha():
+        """Ids of a piece without white space, four bytes each. Neither composition nor lower-casing reaches across white space."""
+        if chunk.isascii():
+            chunk = shape = chunk.lower()
+        else:
+            chunk = self.normalized(chunk)
+            shape = chunk.translate(self.shapes)
+        if shape.isalpha():
             return self.words[chunk]
-        return b"".join([self.words[w] for w in self.words_in.findall(chunk)])
+        return b"".join([self.words[chunk[m.start() : m.end()]] for m in self.words_in.finditer(shape)])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; special tokens written out in the text become their ids."""
@@ -256,7 +292,7 @@ class Encoder:
                 for full in (self.memory, self.words, self.table):
                     if len(full) > MEMORY:
                         full.clear()
-                out += map(self.memory.__getitem__, _SPLIT.split(_lowered(part)))
+                out += map(self.memory.__getitem__, _SPLIT.split(part.lower() if part.isascii() else part))
         return b"".join(out)
 
 
@@ -272,14 +308,6 @@ class _Memory(dict):
         return value
 
 
-def _lowered(text: str) -> str:
-    if text.isascii():
-        return text.lower()
-    text = unicodedata.normalize("NFC", text)
-    # character by character: a capital sigma at the end of a word is no exception
-    return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-
-
 class Decoder:
     """Token texts in one buffer, each with the space that joins it to the next; offsets give their places."""
 

@@ -80,7 +80,7 @@ def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "archive")
     warc.write_archive(table(spark, sf_dir, "pages"), folder)
-    return warc.parse_records(warc.read_archive(spark, folder)).drop("verified")
+    return warc.parse_records(warc.read_archive(spark, folder))
 
 
 ARCHIVE_SQL = """

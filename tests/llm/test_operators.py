@@ -1,6 +1,8 @@
 import collections
+import datetime
 import hashlib
 import random
+import re
 import time
 import zlib
 
@@ -14,9 +16,11 @@ from tokenizers import Tokenizer
 from lmprep.llm import best_fit, bpe, jaccard, line_templates, lm_score, quality, secret_scan, top_k, url_filter, warc
 from lmprep.llm.automaton import compile_rules, parse
 from lmprep.llm.components import connected_components, more_links
+from lmprep.llm.queries import QUERIES
 from lmprep.llm.store import new_folder
 from tests.llm import brute
 
+SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node long, spans string"
 WORD_BPE, BYTE_BPE = map(public_tokenizers.path, ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
@@ -110,6 +114,39 @@ def test_bpe_equals_library(docs):
         assert r.r.decoded_sha256 == hashlib.sha256(tokenizer.decode(want, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_bpe_of_every_code_point(spark):
+    """After a letter, before one, alone, and as a mark on a letter: Unicode is that of the library, not of Python."""
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    encoder = bpe.Encoder(bpe.compile_bpe(WORD_BPE))
+    # planes 4 to 13, 15 and 16 hold no character of either version: a stretch of each will do
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x40000 or c >> 16 == 14 or c & 0xFFFF < 64)]
+    for first in range(0, len(points), 4096):
+        texts = ["a{0}b {0} e{0}\u0301 1{0}2 A{0}'s{0}{0}".format(c) for c in points[first : first + 4096]]
+        want = tokenizer.encode_batch(texts, add_special_tokens=False)
+        wrong = [t for t, w in zip(texts, want) if np.frombuffer(encoder.encode(t), "<u4").tolist() != w.ids]
+        assert not wrong, wrong[:5]
+
+
+def test_bpe_query_equals_library(spark):
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    tokenizer.no_truncation(), tokenizer.no_padding()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = QUERIES["op3_bpe"](spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids
+        decoded = tokenizer.decode(ids, skip_special_tokens=False)
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_bpe_empty_table_and_clashing_columns(spark, empty):
+    assert empty.select(bpe.round_trip(empty, WORD_BPE).alias("r"), bpe.encode(empty, WORD_BPE).alias("ids")).count() == 0
+    df = spark.createDataFrame([("a b", "x", "y"), (None, "x", "y")], "text string, n_tokens string, ids_sha256 string")
+    got = df.select("n_tokens", "ids_sha256", bpe.round_trip(df, WORD_BPE).alias("r")).collect()
+    assert [(r[0], r[1], r.r.n_tokens) for r in got] == [("x", "y", 2), ("x", "y", 0)]
+
+
 def test_quality_equals_brute_force(docs):
     rng, limits = random.Random(3), quality.Limits()
     texts = ["".join(rng.choice(["a", "b", "é c", "foo bar baz qux a b c d e f g h"][: 1 + i % 4]) + rng.choice(" \n") for _ in range(rng.randint(0, 50))) for i in range(150)]
@@ -213,6 +250,11 @@ def test_archive(spark, tmp_path):
     assert got == [(0, 2, "revisit", 7), (1, 4, "revisit", 5), (3, 4, "revisit", 5), (4, 0, "revisit", 6), (5, 4, "response", None),
                    (6, 0, "response", None), (7, 2, "response", None), (8, 3, "response", None), (8, 3, "response", None)]
     blocks = [bytes(r.block) for r in records.collect()]
+    dated = rb"WARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\r\n"
+    assert all(re.search(dated, b) and (b"WARC-Profile: " in b) == (b"WARC-Type: revisit" in b) for b in blocks)
+    cut = records.withColumn("block", F.expr("substring(block, 1, octet_length(block) - 5)"))
+    with pytest.raises(Exception, match="does not match its header"):
+        warc.parse_records(cut).collect()
     assert sum(b.endswith(b"\r\n\r\nsame\r\n\r\n") for b in blocks) == 1
     spark.createDataFrame([("0" * 64, bytearray(b"bad"))], "key string, payload binary").write.mode("append").parquet(f"{folder}/payloads")
     spark.createDataFrame([(bytearray(b"x"), "0" * 64)], "header binary, key string").write.mode("append").parquet(f"{folder}/records")
@@ -220,6 +262,21 @@ def test_archive(spark, tmp_path):
         warc.read_archive(spark, folder).collect()
 
 
+def test_archive_of_bytes_dates_and_an_empty_table(spark):
+    day = datetime.datetime(2024, 2, 3, 4, 5, 6, tzinfo=datetime.timezone.utc)
+    rows = [(1, "a\r\nb", "x\r\n\r\ny" * 50_000, day, "clash"), (2, None, "\r\n\r\n", None, "clash")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, at timestamp, payload string")
+    folder = new_folder(spark, "archive")
+    warc.write_archive(df, folder, date="at")
+    records = warc.read_archive(spark, folder)
+    assert {r.page_id: r.payload_bytes for r in warc.parse_records(records).collect()} == {1: 300_000, 2: 4}
+    first = next(bytes(r.block) for r in records.collect() if b"urn:page:1>" in r.header)
+    assert b"WARC-Date: 2024-02-03T04:05:06Z\r\n" in first and b"WARC-Target-URI: a%0D%0Ab\r\n" in first
+    folder = new_folder(spark, "archive")
+    warc.write_archive(df.limit(0), folder)
+    assert warc.parse_records(warc.read_archive(spark, folder)).count() == 0
+
+
 def test_lines(spark, docs, empty):
     page = "one two three four five six seven eight nine ten {} twelve"
     rows = [(1, f"alpha beta gamma delta epsilon\n{page.format(11)}"), (2, f"short\n{page.format(99)}\nown line of document number two"),
