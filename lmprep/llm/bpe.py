@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -79,6 +80,19 @@ def _shapes(pattern: str) -> dict[int, str]:
     return found
 
 
+@lru_cache
+def _unsettled(pattern: str) -> re.Pattern:
+    """Finds a character whose composition, lower case or kind may depend on the version of Unicode.
+
+    Normal forms are stable for what version 3.2 holds; lower case and kind are compared with the library's. A capital
+    sigma is among the characters found, as Python lower-cases it by its place in a word.
+    """
+    lower, old, moved = normalizers.Lowercase().normalize_str, unicodedata.ucd_3_2_0, _shapes(pattern)
+    named = [c for c in map(chr, range(0x20000)) if old.category(c) not in ("Cn", "Cs") and c != "Σ"]
+    settled = [c for c in named if lower(c) == c.lower() and moved.keys().isdisjoint(map(ord, c + c.lower()))]
+    return re.compile(f"[^{re.escape(''.join(settled))}]")
+
+
 def compile_bpe(path: str) -> dict:
     """Plain tables of a tokenizer file with an end-of-word suffix, a split pattern and byte-level symbols."""
     with open(path, encoding="utf-8") as f:
@@ -112,6 +126,7 @@ def compile_bpe(path: str) -> dict:
         "special": {a["content"]: a["id"] for a in spec["added_tokens"]},
         "pattern": pattern.replace(r"\s", _SPACES),
         "shapes": _shapes(pattern),
+        "unsettled": _unsettled(pattern),
     }
 
 
@@ -213,13 +228,14 @@ class Encoder:
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.words_in, self.shapes = regex.compile(tables["pattern"]), tables["shapes"]
         # the library's own tables of Unicode; Python's are of another version
+        self.unsettled = tables["unsettled"].search
         self.normalized = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
         self.symbols = dict(enumerate(byte_symbols()))
         self.lengths, self.shorter = tables["lengths"], tables["shorter"]
         self.root = _nodes(tables["matcher"])
         self.table: dict[int, bool] = {}
         self.words = _Memory(self._word_bytes)
-        self.memory = _Memory(self._chunk_bytes)
+        self.ready, self.chunks = _Memory(self._ready_bytes), _Memory(self._chunk_bytes)
 
     def _resolve(self, node: dict, c: int) -> dict:
         """The move that falls back, kept in the node so that it is looked for once."""
@@ -268,15 +284,16 @@ class Encoder:
             word = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.symbols)
         return array("I", self.word_ids(word[:-1] + chr(_END + ord(word[-1])))).tobytes()
 
-    def _chunk_bytes(self, chunk: str) -> bytes:
-        """Ids of a piece without white space, four bytes each. Neither composition nor lower-casing reaches across white space."""
-        if chunk.isascii():
-            chunk = shape = chunk.lower()
-        else:
-            chunk = self.normalized(chunk)
-            shape = chunk.translate(self.shapes)
-        if shape.isalpha():
+    def _ready_bytes(self, chunk: str) -> bytes:
+        """Ids, four bytes each, of a piece without white space that is composed and lower-cased."""
+        if chunk.isalpha():
             return self.words[chunk]
+        return b"".join([self.words[w] for w in self.words_in.findall(chunk)])
+
+    def _chunk_bytes(self, chunk: str) -> bytes:
+        """The same of a piece as it stands in the text: neither composition nor lower-casing reaches across white space."""
+        chunk = self.normalized(chunk)
+        shape = chunk.translate(self.shapes)
         return b"".join([self.words[chunk[m.start() : m.end()]] for m in self.words_in.finditer(shape)])
 
     def encode(self, text: str) -> bytes:
@@ -289,10 +306,15 @@ class Encoder:
             if i % 2:
                 out.append(np.uint32(self.special[part]).tobytes())
             elif part:
-                for full in (self.memory, self.words, self.table):
+                for full in (self.ready, self.chunks, self.words, self.table):
                     if len(full) > MEMORY:
                         full.clear()
-                out += map(self.memory.__getitem__, _SPLIT.split(part.lower() if part.isascii() else part))
+                if part.isascii():
+                    out += map(self.ready.__getitem__, _SPLIT.split(part.lower()))
+                elif not self.unsettled(part):
+                    out += map(self.ready.__getitem__, _SPLIT.split(unicodedata.normalize("NFC", part).lower()))
+                else:
+                    out += map(self.chunks.__getitem__, _SPLIT.split(part))
         return b"".join(out)
 
 
