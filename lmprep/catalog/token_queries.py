@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lmprep.catalog import fixtures as fx
 from lmprep.catalog.registry import query
 from lmprep.catalog.text_queries import MAX_LEN, SQL_INSTRUCTION_TRIPLE
+from lmprep.cluster import ensure_checkpoint_dir, shuffle_partitions
 from lmprep.functions import arrays
 from lmprep.functions.templates import instruction_prompt
-from lmprep.functions.text import hex_bounds, seeded_order
+from lmprep.functions.text import hex_bounds
 from lmprep.operators import batching, labels, mixing, packing, sampling
-from lmprep.operators.indexing import index_keys
+from lmprep.plans.datasets import DatasetOptions, build_dataset
 from lmprep.sources import readers
 
 SEQ_LEN = 2048
@@ -184,8 +187,10 @@ def d11(spark, sf):
     return ids.select("doc_id", fx.TOK.decode(F.col("ids")).alias("text"))
 
 
-def _sql_packed(limit: float, shards: int = 1, greedy: bool = True, documents: str = "documents") -> str:
-    """Buffers by a recursive walk over the documents, or one buffer per shard."""
+def _sql_packed(
+    limit: float | str, shards: int = 1, greedy: bool = True, documents: str = "documents", before: str = ""
+) -> str:
+    """Buffers by a recursive walk over the documents, or one buffer per shard; ``before`` are tables that it needs."""
     shard = "0" if shards == 1 else f"('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % {shards}"
     walk = f"""
 w AS (
@@ -197,7 +202,7 @@ w AS (
     if not greedy:
         walk = "w AS (SELECT shard, i, 0::BIGINT AS buffer_id FROM d)"
     return f"""
-WITH RECURSIVE d AS (
+WITH RECURSIVE {before} d AS (
   SELECT doc_id, ({shard})::INTEGER AS shard, length(text) AS n_chars,
          row_number() OVER (PARTITION BY {shard} ORDER BY doc_id) - 1 AS i FROM {documents}),
 {walk},
@@ -343,23 +348,26 @@ def e2(spark, sf):
     return mixing.mix_sources(sources(spark, sf), "doc_id", fx.MIX, fx.SEED, stop="first_exhausted")
 
 
+def written_places(ordered):
+    """The operator's rows, numbered by where they come to lie when written: the operator alone makes this order."""
+    path = f"{ensure_checkpoint_dir(ordered.sparkSession)}/ordered-{uuid.uuid4().hex}"
+    ordered.write.parquet(path)
+    return readers.read_in_order(ordered.sparkSession, path)
+
+
 @query(
     "e4_global_shuffle",
     f"SELECT doc_id, text, row_number() OVER (ORDER BY md5('{fx.SEED}:' || doc_id), doc_id) - 1 AS place FROM documents",
 )
 def e4(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
-    ranked = index_keys(
-        docs.select("doc_id", seeded_order(fx.SEED, F.col("doc_id")).alias("at")), ["at", "doc_id"], name="place"
-    ).drop("at")
-    return sampling.global_shuffle(docs, fx.SEED, "doc_id").join(ranked, ["doc_id"])
+    return written_places(sampling.global_shuffle(fx.table(spark, sf, "documents").select("doc_id", "text"), fx.SEED, "doc_id"))
 
 
 @query("e5_keep_order", "SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents")
 def e5(spark, sf):
     docs = fx.table(spark, sf, "documents").select("doc_id", "text")
-    ranked = index_keys(docs.select("doc_id"), ["doc_id"], name="place")
-    return sampling.keep_order(docs.join(ranked, ["doc_id"]), "doc_id")
+    scattered = docs.repartition(shuffle_partitions(spark), F.xxhash64("doc_id"))  # so that the order is the operator's work
+    return written_places(sampling.keep_order(scattered, "doc_id"))
 
 
 @query("e6_head", "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 500")
@@ -392,6 +400,29 @@ def e9(spark, sf):
     return sampling.repeat_epochs(fx.table(spark, sf, "conversations").select("conv_id", "turn", "text"), 2)
 
 
+_SQL_MIX_TABLES = f"""{_sql_mixed('max').strip().removeprefix('WITH')},
+docs AS MATERIALIZED (SELECT step AS doc_id, text FROM mixed),
+lim AS MATERIALIZED (
+  SELECT {SEQ_LEN * NUM_SEQUENCES} * (sum(length(text))::DOUBLE / sum(length(text) + 1)) AS v FROM docs WHERE doc_id < 500),
+"""
+
+
+@query(
+    "b6_build_raw_text",
+    f"{_sql_packed('(SELECT v FROM lim)', documents='docs', before=_SQL_MIX_TABLES)} {_SQL_CHUNKS}, "
+    f"{fx.sql_joined('ids')} AS labels, (row_number() OVER (PARTITION BY shard, buffer_id "
+    f"ORDER BY md5('{fx.SEED}:' || chunk_id), chunk_id) - 1)::INTEGER AS chunk_pos FROM c",
+)
+def b6_raw(spark, sf):
+    """The main path: corpora mixed by weight, characters per token estimated from the first steps, packed, chunks shuffled."""
+    spec = ",".join(f"{sf}/documents.parquet:{lang}" for lang in fx.LANGS)
+    options = DatasetOptions(
+        max_seq_length=SEQ_LEN, num_sequences=NUM_SEQUENCES, interleave_probs=fx.MIX, seed=fx.SEED
+    )
+    chunks = build_dataset(spark, "culturax", spec, fx.TOK, options)
+    return chunks.withColumn("input_ids", fx.joined("input_ids")).withColumn("labels", fx.joined("labels"))
+
+
 @query(
     "h2_combine_sources", "SELECT lang AS source, doc_id, text FROM documents WHERE lang IN ('de', 'en', 'es', 'fr')"
 )

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 
 
-from lmprep.cluster import reliable
+from lmprep.cluster import stored
 from lmprep.functions.templates import instruction_prompt
 from lmprep.functions.tokenizers import Tokenizer
 from lmprep.operators.labels import mask_chat_labels, mask_instruction_labels
@@ -75,8 +75,9 @@ def _raw_text(spark, spec, tok, options, split) -> DataFrame:
         (raw,) = corpora.values()
     else:
         mixed = mix_sources(corpora, key, options.interleave_probs, options.seed, options.stopping_strategy)
-        # written once: the estimate and both packing passes read it
-        raw, key = reliable(mixed.select("step", "text")), "step"
+        # written once, each file in step order: the estimate reads the first row groups, packing first the lengths and then
+        # the texts
+        raw, key = stored(mixed.select("step", "text").sortWithinPartitions("step")), "step"
     ratio = chars_per_token(raw, tok, order_key=key).first()["chars_per_token"]
     return pack_sequences(
         raw, tok, options.max_seq_length,

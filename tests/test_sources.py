@@ -189,3 +189,25 @@ def test_lines_of_records_are_not_an_array(spark, tmp_path):
     assert readers.read_json_lines(spark, path).count() == 10
     with pytest.raises(ValueError, match="read_json_lines"):
         readers.read_json_records(spark, path)
+
+
+def test_rows_are_numbered_as_they_were_written(spark, tmp_path):
+    df = spark.range(5000).withColumn("_start", F.lit("clash")).repartition(7, F.xxhash64("id"))
+    path = str(tmp_path / "sorted")
+    df.orderBy(F.xxhash64("id")).write.option("maxRecordsPerFile", 400).parquet(path)
+    got = {r.id: r.place for r in readers.read_in_order(spark, path).collect()}
+    want = [r.id for r in spark.range(5000).orderBy(F.xxhash64("id")).collect()]
+    assert [got[i] for i in want] == list(range(5000))
+    with pytest.raises(ValueError, match="already"):
+        readers.read_in_order(spark, path, "id")
+
+
+def test_mix_is_stored_in_step_order(spark, tmp_path):
+    rows = [(i, f"text {i} " * (i % 9), "ab"[i % 2]) for i in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "docs"))
+    tok = TOK
+    options = DatasetOptions(max_seq_length=32, num_sequences=4, order_key="doc_id", shuffle_packed=False)
+    one = build_dataset(spark, "culturax", f"{tmp_path}/docs:a", tok, options)
+    two = build_dataset(spark, "culturax", f"{tmp_path}/docs:a,{tmp_path}/docs:b", tok, options)
+    assert 0 < one.count() < two.count() and two.where(F.size("input_ids") != 32).count() == 0
+    assert any("/stored-" in f for f in two.inputFiles()) and not any("/docs" in f for f in two.inputFiles())
