@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lmprep.catalog import fixtures as fx
@@ -59,6 +60,30 @@ def a8(spark, sf):
     return test.withColumn("part", F.lit("test")).unionByName(pool.withColumn("part", F.lit("pool")))
 
 
+#: What a cut at braces must not be misled by.
+_AWKWARD = '}"],{\\" [{'
+
+
+@query(
+    "a1_read_json_records",
+    f"SELECT doc_id, text, text || '{_AWKWARD}' AS awkward, doc_id + 1 AS following FROM documents",
+)
+def a1(spark, sf):
+    """All documents as JSON arrays, a file for each remainder of the key, read again."""
+    path = fx.scratch(spark, "arrays")
+    docs = fx.table(spark, sf, "documents").select(
+        "doc_id", "text", F.concat("text", F.lit(_AWKWARD)).alias("awkward"),
+        F.array("doc_id", F.col("doc_id") + 1).alias("numbers"), F.pmod("doc_id", F.lit(8)).alias("file"),
+    )
+    order = Window.partitionBy("file").orderBy("doc_id")
+    record = F.to_json(F.struct("doc_id", "text", "awkward", "numbers"))
+    opening = F.when(F.lag("doc_id").over(order).isNull(), "[").otherwise(",")
+    closing = F.when(F.lead("doc_id").over(order).isNull(), "]").otherwise("")
+    docs.select("file", F.concat(opening, record, closing)).write.partitionBy("file").text(path)
+    found = readers.read_json_records(spark, f"{path}/*", "doc_id long, text string, awkward string, numbers array<long>")
+    return found.select("doc_id", "text", "awkward", F.col("numbers")[1].alias("following"))
+
+
 @query(
     "a9_write_predictions_json",
     f"SELECT text AS input, text AS raw_output, {fx.sql_strip(f'''array_to_string(list_transform(regexp_split_to_array(text, {fx.BREAKS}), lambda s: {fx.sql_strip('s')}), ' ')''')} AS output FROM documents",

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lmprep.cluster import ensure_checkpoint_dir
+from lmprep.sources.json_arrays import json_array_lines
 from lmprep.sources.specs import (
     SourceSpec,
     is_data_file,
@@ -21,16 +24,19 @@ from lmprep.sources.specs import (
 
 
 def read_json_records(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """UTF-8 JSON files that hold an array of records each. Give a schema: without one the records are read twice.
+    """UTF-8 JSON files that hold an array of records each.
 
-    Of a file that holds lines of records the scan would keep the first record alone, so such a file raises ``ValueError``;
-    ``read_json_lines`` is for those.
+    The arrays are cut into records in parallel and written once, as lines, to the checkpoint folder; the reader then works on
+    those lines. A file that holds anything else, such as a second array or lines of records, raises ``ValueError``.
     """
-    whole = spark.read.option("wholetext", True).text(path)
-    if whole.where(~F.col("value").rlike(r"^\uFEFF?\s*\[")).select(F.lit(1)).head() is not None:
-        raise ValueError(f"{path} holds a file that is not a JSON array; use read_json_lines for lines of records")
-    reader = spark.read.option("multiLine", True).option("encoding", "UTF-8").option("mode", "FAILFAST")
-    return (reader.schema(schema) if schema else reader).json(path)
+    folder = f"{ensure_checkpoint_dir(spark)}/records-{uuid.uuid4().hex}"
+    try:
+        json_array_lines(spark, path).write.text(folder)
+    except PySparkException as e:
+        if "not one JSON array" not in str(e):
+            raise
+        raise ValueError(f"{path} holds a file that is not one JSON array of records; use read_json_lines for lines of records") from e
+    return read_json_lines(spark, folder, schema)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -66,7 +72,7 @@ def read_dataset(spark: SparkSession, name: str, subset: str | None = None, spli
 
 
 def read_spec(spark: SparkSession, spec: SourceSpec, schema: T.StructType | None = None) -> DataFrame:
-    if spec.is_file and is_json_lines(spec.name):
+    if spec.is_file and is_json_lines(spark, spec.name):
         return read_json_lines(spark, spec.name, schema)
     if spec.is_file:
         return read_json_records(spark, spec.name, schema)

@@ -58,8 +58,14 @@ def is_data_file(spark: SparkSession, path: str) -> bool:
     return len(system.globStatus(inside)) > 0
 
 
-def is_json_lines(path: str) -> bool:
-    return path.endswith(_LINES_SUFFIX)
+def is_json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a JSON path holds lines of records: by its suffix or, for a folder, by files that are named as lines or as Spark
+    names the lines it writes."""
+    if path.endswith(_LINES_SUFFIX):
+        return True
+    system, target = _file_system(spark, path)
+    inside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target, "{part-*.json*,*.jsonl*}")
+    return system.getFileStatus(target).isDirectory() and len(system.globStatus(inside)) > 0
 
 
 def parse_source_spec(

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,44 @@ def test_folders_and_lines_are_told_apart(spark, tmp_path):
     assert readers.read_source(spark, f"file:{folder}").count() == 2
 
 
+@pytest.mark.parametrize("block", ["40", "700", "134217728"])
+def test_json_arrays_in_blocks(spark, tmp_path, block):
+    rng = random.Random(3)
+    odd = ["}", "{", "[", "]", '"', "\\", '\\"', "\n", "õ", "},{", "]}", "long " * 20, ""]
+    records = [{"id": i, "t": "".join(rng.choice(odd) for _ in range(i % 9)), "n": {"x": [{"y": i}]}} for i in range(40)]
+    (tmp_path / "a.json").write_text(json.dumps(records, indent=1))
+    (tmp_path / "b.json").write_text("\ufeff " + json.dumps(records, ensure_ascii=False) + "\n", encoding="utf-8")
+    (tmp_path / "none.json").write_text(" [ ]\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for path, times in ((tmp_path / "a.json", 1), (tmp_path, 2)):
+            got = readers.read_json_records(spark, str(path), "id long, t string, n struct<x: array<struct<y: long>>>").collect()
+            assert sorted((r.id, r.t, r.n.x[0].y) for r in got) == sorted([(r["id"], r["t"], r["id"]) for r in records] * times)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ['[{"a": 1}, {"a": 2}]\n[{"a": 3}]', '{"a": 1}\n{"a": 2}', '[{"a": 1}', '[1, {"a": 1}]', '[{"a": 1} {"a": 2}]', '[{"a": 1}]]',
+     '[{"a": 1}] x', '[{"a": 1},]', '[{"a": "}]'],
+)
+def test_json_that_is_not_one_array(spark, tmp_path, text):
+    (tmp_path / "bad.json").write_text(text)
+    with pytest.raises(ValueError, match="not one JSON array"):
+        readers.read_json_records(spark, str(tmp_path / "bad.json"), "a int")
+
+
+def test_written_predictions_are_a_source(spark, tmp_path):
+    df = spark.createDataFrame([("a", "b", "c")] * 3, "input string, raw_output string, output string")
+    writers.write_predictions_json(df, str(tmp_path / "out"))
+    got = readers.read_source(spark, str(tmp_path / "out"))
+    assert got.select(df.columns).exceptAll(df).count() == 0 and got.count() == 3
+
+
 def test_prompt_formats(spark, tmp_path):
     assert specs.load_prompt_format() == DEFAULT_PROMPTS
     own = {"prompt_input": "{input}->{instruction}:", "prompt_no_input": "{instruction}:"}
