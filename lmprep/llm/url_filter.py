@@ -37,7 +37,9 @@ def build_trie(rules: Sequence[Rule]) -> dict:
         *segments, rest = path.split("/")
         for segment in segments:
             node = node.setdefault(segment, {})
-        node.setdefault(_ENDS, {})[rest] = (host + path, verdict)
+        ends, lengths = node.setdefault(_ENDS, ({}, set()))
+        ends[rest] = (host + path, verdict)
+        lengths.add(len(rest))
     return root
 
 
@@ -55,11 +57,12 @@ def longest_match(trie: dict, host: str, path: str) -> tuple[str, str] | None:
     for node in reversed(below):  # most labels first
         best = None
         for segment in segments:
-            ends = node.get(_ENDS)
-            if ends:
-                fits = [e for e in ends if segment.startswith(e)]
-                if fits:
-                    best = ends[max(fits, key=len)]
+            if _ENDS in node:
+                # one probe for each length that occurs, however many entries end here
+                ends, lengths = node[_ENDS]
+                fits = max((n for n in lengths if n <= len(segment) and segment[:n] in ends), default=None)
+                if fits is not None:
+                    best = ends[segment[:fits]]
             node = node.get(segment)
             if node is None:
                 break

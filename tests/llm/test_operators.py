@@ -262,6 +262,18 @@ def test_archive(spark, tmp_path):
         warc.read_archive(spark, folder).collect()
 
 
+def test_many_entries_of_one_host():
+    rules = [("a.b", f"/{'x' * (i % 5)}{i}", "block") for i in range(100_000)] + [("a.b", "/", "allow"), ("a.b", "/xxx", "block")]
+    trie = url_filter.build_trie(rules)
+    started = time.perf_counter()
+    for i in range(2000):
+        rule = url_filter.longest_match(trie, "c.a.b", f"/{'x' * (i % 5)}{i}?")[0]
+        assert rule == f"a.b/{'x' * (i % 5)}{i}"
+    assert url_filter.longest_match(trie, "a.b", "/y" + "x" * 100_000) == ("a.b/", "allow")
+    assert url_filter.longest_match(trie, "a.b", "/xxxx") == ("a.b/xxx", "block")
+    assert time.perf_counter() - started < 20
+
+
 def test_archive_of_bytes_dates_and_an_empty_table(spark):
     day = datetime.datetime(2024, 2, 3, 4, 5, 6, tzinfo=datetime.timezone.utc)
     rows = [(1, "a\r\nb", "x\r\n\r\ny" * 50_000, day, "clash"), (2, None, "\r\n\r\n", None, "clash")]
