@@ -3,9 +3,9 @@
 Vocabulary: the most frequent words of all documents; every other word is its ending (one of ``ENDINGS`` groups). The network
 adds up an embedding of each of the two words before and the two after, one table for each place, takes a tanh, and predicts the
 word in two steps, its frequency class and the word within the class, so that probabilities are exactly normalised at a cost of
-about 100 outputs. It is trained in NumPy with Adagrad on masked positions of every document. Each
+about 100 outputs. It is trained in NumPy with Adagrad; every position of every document is masked once, in one of ``ROUNDS`` rounds. Each
 partition trains its own copy from the same start, and the copies are averaged in Spark, weighted by words, as exact fixed-point sums; this is
-repeated for ``ROUNDS`` rounds on other positions. The score of a document is the sum of log P(word | words around) over all its words.
+repeated in each round. The score of a document is the sum of log P(word | words around) over all its words.
 """
 
 from __future__ import annotations
@@ -18,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lmprep.llm.arrow import chunks, text_buffer
+from lmprep.llm.arrow import CHUNK_BYTES, chunks, text_buffer
+from lmprep.llm.store import written
 from lmprep.llm.words import word_hashes, word_spans
 
 WORDS, ENDINGS, GROUP, DIM, SIDES = 1984, 64, 64, 16, (-2, -1, 1, 2)
-#: One position in ``MASK`` is trained on, split over ``ROUNDS`` rounds.
-MASK, ROUNDS, RATE, BATCH = 8, 2, 0.2, 512
+#: One position in ``MASK`` is trained on, split over ``ROUNDS`` rounds; 1 is all of them.
+MASK, ROUNDS, RATE, BATCH = 1, 2, 0.2, 512
 #: Words scored at once.
-SCORED = 8192
+SCORED = 32_768
 _FIXED = 1e4
 _ROW = 64
 
@@ -56,6 +57,20 @@ def tokens(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndar
     return out, counts
 
 
+def _numbered(column: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``tokens`` of consecutive parts of a column, which holds texts or what ``number_words`` makes of them."""
+    if not pa.types.is_binary(column.type):
+        yield from (tokens(part, vocabulary) for part in chunks(column))
+        return
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data, start = column.buffers()[2], 0
+    while start < len(column):
+        stop = min(len(column), max(start + 1, int(np.searchsorted(ends, ends[start] + CHUNK_BYTES // 4, side="right")) - 1))
+        words = np.frombuffer(data, np.uint8)[ends[start] : ends[stop]] if data else np.zeros(0, np.uint8)
+        yield words.copy().view("<i2").astype(np.int64), (ends[start : stop + 1] - ends[start]).astype(np.int64) // 2
+        start = stop
+
+
 def _endings(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     last = data[ends - 1].astype(np.int64)
     return WORDS + (last * 31 + data[np.maximum(ends - 2, 0)]) % ENDINGS
@@ -115,39 +130,61 @@ class Network:
 
     def train(self, around: np.ndarray, words: np.ndarray) -> None:
         """One Adagrad step on a batch."""
+        order = np.argsort((words // GROUP).astype(np.int16), kind="stable")
+        around, words = around[order], words[order]  # by class, so that each one's rows are a slice
         h, cls, n = self.hidden(around), words // GROUP, np.float32(len(words))
         error = _errors(h @ self.params["U"] + self.params["c"], cls)
         back = error @ self.params["U"].T
         steps = {"U": h.T @ error, "c": error.sum(axis=0)}
-        steps["W"], steps["w"] = np.zeros_like(self.params["W"]), np.zeros_like(self.params["w"])
-        for c, rows in _by_class(cls):
-            error = _errors(h[rows] @ self.params["W"][c] + self.params["w"][c], words[rows] % GROUP)
-            back[rows] += error @ self.params["W"][c].T
-            steps["W"][c], steps["w"][c] = h[rows].T @ error, error.sum(axis=0)
+        steps["W"], steps["w"] = np.zeros(self.shapes["W"], np.float32), np.zeros(self.shapes["w"], np.float32)
+        cuts = np.concatenate([[0], np.flatnonzero(cls[1:] != cls[:-1]) + 1, [len(cls)]])
+        slices = [(c, slice(a, b)) for c, a, b in zip(cls[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist())]
+        logits = self.params["w"][cls]
+        for c, rows in slices:
+            logits[rows] += h[rows] @ self.params["W"][c]
+        error = _errors(logits, words % GROUP)
+        for c, rows in slices:
+            back[rows] += error[rows] @ self.params["W"][c].T
+            np.matmul(h[rows].T, error[rows], out=steps["W"][c])
+        steps["w"][cls[cuts[:-1]]] = np.add.reduceat(error, cuts[:-1], axis=0)
         back *= 1 - h * h
         for k, step in steps.items():
             step /= n
             self.speed[k] += step * step
-            self.params[k] -= RATE * step / np.sqrt(self.speed[k])
+            root = np.sqrt(self.speed[k])
+            step *= RATE
+            step /= root
+            self.params[k] -= step
         back /= n
-        for side in range(len(SIDES)):
-            order = np.argsort(around[:, side], kind="stable")
-            ids = around[order, side]
-            firsts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            step = np.add.reduceat(back[order], firsts, axis=0)
-            rows = ids[firsts]
-            self.speed["E"][side][rows] += step * step
-            self.params["E"][side][rows] -= RATE * step / np.sqrt(self.speed["E"][side][rows])
+        # the tables of all sides as one, its rows in one order
+        size = len(self.params["E"][0])
+        rows = (around + np.arange(len(SIDES)) * size).ravel()
+        order = np.argsort(rows.astype(np.int16), kind="stable")
+        rows = rows[order]
+        firsts = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1])
+        step, rows = np.add.reduceat(back[order // len(SIDES)], firsts, axis=0), rows[firsts]
+        speed, params = self.speed["E"].reshape(-1, DIM), self.params["E"].reshape(-1, DIM)
+        moved = speed[rows] + step * step
+        speed[rows] = moved
+        params[rows] -= RATE * step / np.sqrt(moved)
+
+
+def _top(logits: np.ndarray) -> np.ndarray:
+    """The largest of each row, by halves: faster than a reduction over short rows. Their length is a power of two times an odd number."""
+    while logits.shape[1] % 2 == 0:
+        half = logits.shape[1] // 2
+        logits = np.maximum(logits[:, :half], logits[:, half:])
+    return logits.max(axis=1, keepdims=True)
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
-    top = logits.max(axis=1)
-    return top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    top = _top(logits)
+    return top[:, 0] + np.log(np.exp(logits - top) @ np.ones(logits.shape[1], logits.dtype))
 
 
 def _errors(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
-    p = np.exp(logits - logits.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
+    p = np.exp(logits - _top(logits))
+    p /= (p @ np.ones(p.shape[1], p.dtype))[:, None]
     p[np.arange(len(target)), target] -= 1
     return p
 
@@ -198,6 +235,26 @@ def _pairs(words: np.ndarray, counts: np.ndarray, ending: bool) -> pa.RecordBatc
     )
 
 
+def number_words(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, words): the word numbers of each text, two bytes each, which ``train`` and ``score`` take in place of the text."""
+    shipped = docs.sparkSession.sparkContext.broadcast((vocabulary.hashes, vocabulary.numbers, vocabulary.weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Vocabulary(*shipped.value)
+        for batch in batches:
+            start = 0
+            for part in chunks(batch.column(1)):
+                ids, counts = tokens(part, known)
+                words = pa.Array.from_buffers(
+                    pa.binary(), len(part), [None, pa.py_buffer((2 * counts).astype(np.int32)), pa.py_buffer(ids.astype("<i2"))]
+                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), words], names=["doc_id", "words"])
+                start += len(part)
+
+    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return named.mapInArrow(run, "doc_id long, words binary")
+
+
 def train(
     docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: int = ROUNDS, mask: int = MASK, batch_size: int = BATCH
 ) -> np.ndarray:
@@ -215,8 +272,7 @@ def train(
             network, seen = Network(known.weights).load(start), 0
             around, words = np.zeros((0, len(SIDES)), np.int64), np.zeros(0, np.int64)
             for batch in batches:
-                for part in chunks(batch.column(0)):
-                    ids, counts = tokens(part, known)
+                for ids, counts in _numbered(batch.column(0), known):
                     seen += len(ids)
                     masked = np.arange(turn, len(ids), mask * rounds)
                     around = np.concatenate([around, _windows(ids, counts)[masked]])
@@ -257,8 +313,7 @@ def score(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, id_col: str
         network = Network(weights).load(flat)
         for batch in batches:
             sizes, sums = [], []
-            for part in chunks(batch.column(1)):
-                ids, counts = tokens(part, known)
+            for ids, counts in _numbered(batch.column(1), known):
                 around, probs = _windows(ids, counts), np.empty(len(ids))
                 for at in range(0, len(ids), SCORED):
                     probs[at : at + SCORED] = network.log_probs(around[at : at + SCORED], ids[at : at + SCORED])
@@ -280,4 +335,6 @@ def score(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, id_col: str
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Vocabulary, training and scores over all of ``docs``. A null text is empty; ids play no part, so they may repeat or be null."""
     vocabulary = count_words(docs, text)
-    return score(docs, vocabulary, train(docs, vocabulary, text), id_col, text)
+    # hashed and looked up once; the rounds and the scores read the numbers
+    numbered = written(number_words(docs, vocabulary, id_col, text), "words")
+    return score(numbered, vocabulary, train(numbered, vocabulary, "words"), "doc_id", "words")

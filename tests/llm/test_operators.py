@@ -415,3 +415,16 @@ def test_log_probs_are_normalised():
 
 def test_scores_of_empty_table(empty):
     assert lm_score.pseudo_likelihood(empty).count() == 0
+
+
+def test_training_sees_every_position(spark):
+    """What only later positions of each text tell is learnt too."""
+    rng = random.Random(4)
+    fixed = [f"s{i}" for i in range(12)]
+    texts = [" ".join([f"w{rng.randrange(8)}" for _ in range(4)] + fixed) for _ in range(4000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    vocabulary = lm_score.count_words(df)
+    flat = lm_score.train(df, vocabulary)
+    rows = [(i, " ".join(rng.sample(fixed, 12) if i else fixed)) for i in range(9)]
+    got = {r.doc_id: r.mean_log_likelihood for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary, flat).collect()}
+    assert got[0] > max(got[i] for i in range(1, 9)) + 0.5
