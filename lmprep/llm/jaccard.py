@@ -11,10 +11,11 @@ costly ones about few:
    ``k`` up to ``need``. A longer prefix costs more index rows but asks for more shared shingles; each set takes the ``k`` with the least
    estimated cost. A pair has to meet the demand that follows from both prefixes and sizes before it is verified on whole sets.
 
-Only connectivity is wanted, so no family of near copies is expanded into pairs: each set is verified against the one partner with which it
+Components come first, and no family of near copies is expanded into rows of pairs for them: each set is verified against the one partner with which it
 shares most of its prefix; then, round by round as long as that links enough, sets outside a common shingle's largest component against the most
 similar of ``LEADERS`` of its members. The exact rest joins prefix shingles across components, leaving out pairs inside one. A parity bitmap of
-each set bounds the difference of a pair from below within that join. Every link is thus either verified or inside a component.
+each set bounds the difference of a pair from below within that join. Every link is thus either verified or inside a component, and each
+set's links are all counted inside its component: blocks of its sets meet as matrices, of which only counts for each set come back.
 
 Shingles are 64-bit hashes, nodes 128 bits of sums of hashes; equal hashes are taken as equal shingles and sets. Step 1 compares about
 ``40 + log2(buckets)`` bits, which can only keep a set that could go.
@@ -51,6 +52,9 @@ VERIFY_COST = 20.0
 #: Members tried in a round of merging, sets that make a shingle common enough for it, and the share of tried pairs that must
 #: turn out to be links for another round. They only decide how much is left to the exact rest.
 LEADERS, CROWD, USEFUL = 3, 32, 0.1
+#: Sets and shingles, on average, of a block in which links are counted; larger components are several blocks. Shingles multiplied at once,
+#: and the work of a shingle in the product, relative to listing its pairs.
+BLOCK_SETS, BLOCK_SHINGLES, COLUMNS, DENSE = 512, 1 << 20, 2048, 16
 #: 64-bit words of a bitmap.
 MAP_WORDS = 8
 _FP_BITS, _LOCAL_BITS = 40, 24
@@ -400,8 +404,89 @@ def _verified(reduced: DataFrame, pairs: DataFrame) -> DataFrame:
     return sized.where(F.col("i") * 100 >= (F.col("p") + F.col("q") - F.col("i")) * PERCENT).select("a", "b")
 
 
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``a`` shares with each of ``b``. A shingle of few sets adds its pairs one by one, others go by a matrix product."""
+    sizes = [len(x) for x in (*a, *b)]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    token = np.unique(np.concatenate([*a, *b]), return_inverse=True)[1]
+    order = np.argsort(token, kind="stable")  # by shingle, first the sets of ``a``
+    row, token = row[order], token[order]
+    left = row < len(a)
+    in_a, in_b = (np.bincount(token[side], minlength=token.max(initial=-1) + 1) for side in (left, ~left))
+    pairs = in_a * in_b
+    out = np.zeros(len(a) * len(b), np.int64)
+    begin = np.concatenate([[0], np.cumsum(in_a + in_b)])
+    often = pairs * DENSE > len(out)
+    few = np.flatnonzero(left & (pairs > 0)[token] & ~often[token])
+    each = in_b[token[few]]
+    cuts = np.searchsorted(np.cumsum(each), np.arange(1 << 22, int(each.sum()) + (1 << 22), 1 << 22))
+    for part in np.split(np.arange(len(few)), cuts):
+        times = each[part]
+        ahead = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        first = (begin[:-1] + in_a)[token[few[part]]]
+        other = row[np.repeat(first, times) + ahead] - len(a)
+        out += np.bincount(np.repeat(row[few[part]], times) * len(b) + other, minlength=len(out))
+    out = out.reshape(len(a), len(b))
+    many = np.flatnonzero(often & (pairs > 0))
+    for at in range(0, len(many), COLUMNS):
+        some = many[at : at + COLUMNS]
+        column = np.full(len(pairs), -1)
+        column[some] = np.arange(len(some))
+        held = np.flatnonzero(column[token] >= 0)
+        flags = np.zeros((len(sizes), len(some)), np.float32)
+        flags[row[held], column[token[held]]] = 1
+        out += (flags[: len(a)] @ flags[len(a) :].T).astype(np.int64)
+    return out
+
+
+def _linked(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    """Which sets of ``a`` are similar enough to which of ``b``."""
+    common = _common(a["tokens"].tolist(), b["tokens"].tolist())
+    sizes = a["n"].to_numpy(np.int64)[:, None] + b["n"].to_numpy(np.int64)
+    return common * 100 >= (sizes - common) * PERCENT
+
+
+def _block_links(frame: pd.DataFrame) -> pd.DataFrame:
+    """(node, c): links of each set inside a block, or between two blocks of one component."""
+    found = []
+    for _, sets in frame.groupby("root", sort=False):
+        if frame["i"].iloc[0] == frame["j"].iloc[0]:
+            linked = _linked(sets, sets)
+            np.fill_diagonal(linked, False)
+            found.append((sets["node"], linked.sum(axis=1)))
+            continue
+        one = sets["home"] == frame["i"].iloc[0]
+        if one.any() and not one.all():
+            linked = _linked(sets[one], sets[~one])
+            found += [(sets["node"][one], linked.sum(axis=1)), (sets["node"][~one], linked.sum(axis=0))]
+    if not found:
+        return pd.DataFrame({"node": [], "c": []}).astype("int64")
+    return pd.DataFrame({"node": np.concatenate([n for n, _ in found]), "c": np.concatenate([c for _, c in found])})
+
+
+def _degrees(reduced: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, n_links): for each node with links the number of all of them; each is inside a component.
+
+    Small components share a group. One of several blocks has a group for each two of them, which is quadratic in its sets, as are its links,
+    but bounded in memory for each group.
+    """
+    members = written(reduced.join(roots, "node").select("node", "root", "n", "tokens"), "members")
+    weight = F.sum(F.size("tokens"))
+    sizes = members.groupBy("root").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(weight / BLOCK_SHINGLES)).cast("int").alias("parts")
+    )
+    bins = 1 + (members.agg(weight).first()[0] or 0) // BLOCK_SHINGLES
+    home = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    key = F.when(F.col("parts") > 1, F.col("root")).otherwise(-1 - F.pmod(F.xxhash64("root"), F.lit(bins)))
+    placed = members.join(sizes, "root").select("node", "root", "n", "tokens", "parts", home.alias("home"), key.alias("key"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "key", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), "home", "root", "node", "n", "tokens"
+    )
+    return met.groupBy("key", "i", "j").applyInPandas(_block_links, "node long, c long").groupBy("node").agg(F.sum("c").alias("n_links"))
+
+
 def _links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b) verified links between nodes, and (node, root) of all nodes with links."""
+    """(node, n, tokens) of the sets that may have links, with their shared shingles, and (node, root) of all nodes with links."""
     reduced = written(_reduced(sets), "reduced")
     shared = written(_prefixes(reduced), "prefixes")
     links = written(_verified(reduced, written(_first_partners(shared), "partners")), "links")
@@ -412,18 +497,18 @@ def _links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         more = written(_verified(reduced, pairs), "links")
         turn, tried, found = turn + 1, pairs.count(), more.count()
         if found:
-            links, roots = links.union(more), more_links(roots, more)
+            roots = more_links(roots, more)
     more = written(_verified(reduced, written(_across(shared, roots, _maps(reduced)), "candidates")), "links")
-    return links.union(more), more_links(roots, more)
+    return reduced, more_links(roots, more)
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row of ``docs``.
 
     ``component_id`` is the least id that links reach, itself included. A null or empty text has no shingles and its own id; an empty table gives no
     rows. Texts of any length are read whole. Rows with equal sets are linked whatever their ids; a null id takes part and is nobody's component id
-    unless all ids of the component are null. ``n_links`` counts verified links of the row's set to others: enough to connect it, not all there are.
-    Other columns of ``docs``, whatever their names, are not read.
+    unless all ids of the component are null. ``n_links`` counts all links of the row's set to other sets (rows with equal sets are one); without
+    ``count_links`` it is null where there are any. Other columns of ``docs``, whatever their names, are not read.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -439,16 +524,21 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     )
     left = written(_linkable(scan), "linkable")
     sets = _left_sets(docs, left)
-    links, roots = _links(sets)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    tops = roots.join(degree, "node", "left").join(sets.select("node", "high", "low"), "node").select("high", "low", "root", "n_links")
+    reduced, roots = _links(sets)
+    if count_links:
+        roots = roots.join(_degrees(reduced, roots), "node")
+    else:
+        roots = roots.withColumn("n_links", F.lit(None).cast("long"))
+    tops = roots.join(sets.select("node", "high", "low"), "node").select("high", "low", "root", "n_links")
     firsts = members.where("high IS NOT NULL").groupBy("high", "low").agg(F.min("doc_id").alias("first"))
     nodes = written(firsts.join(tops, ["high", "low"], "left"), "nodes")
     least = nodes.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
-    nodes = nodes.join(least, "root", "left").select("high", "low", F.coalesce("least", "first").alias("component_id"), "n_links")
+    nodes = nodes.join(least, "root", "left").select(
+        "high", "low", F.coalesce("least", "first").alias("component_id"), F.when(F.col("root").isNull(), 0).otherwise(F.col("n_links")).alias("n_links")
+    )
     out = members.join(nodes, ["high", "low"], "left")
     bare = F.when(F.col("high").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), bare.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), bare.alias("component_id"), F.when(F.col("high").isNull(), 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -460,7 +550,7 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     name = "kept"
     while name in docs.columns:
         name += "_"
-    placed = similar_documents(docs, id_col, text)
+    placed = similar_documents(docs, id_col, text, count_links=False)
     kept = placed.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
     known = docs.where(F.col(f"`{id_col}`").isNotNull())
     once = known.join(kept, F.col(f"`{id_col}`") == F.col(f"`{name}`"), "left_semi").dropDuplicates([id_col])

@@ -211,6 +211,32 @@ def test_similarity_equals_brute_force(spark, monkeypatch):
     assert sorted(r.doc_id for r in jaccard.keep_one_each(df).collect()) == sorted(set(want.values()))
 
 
+def test_all_links_are_counted(spark, monkeypatch):
+    """Each set's links to all others, in components of one block and of several."""
+    base = [f"w{i}" for i in range(60)]
+    texts = {i: " ".join(base[: 50 + i % 11] + [f"x{i}"] * (i % 3)) for i in range(40)} | _random_family(random.Random(8), 300)
+    texts |= {900 + i: texts[i] for i in range(5)} | {990: None, 991: "one word"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    sets = {i: brute.shingles(t) for i, t in texts.items()}
+    different = set(sets.values()) - {frozenset()}
+    want = {
+        i: sum(a != b and 100 * len(a & b) >= 75 * len(a | b) for b in different) if (a := sets[i]) else 0 for i in texts
+    }
+    assert max(want.values()) > 8
+    for most in (jaccard.BLOCK_SETS, 4):
+        monkeypatch.setattr(jaccard, "BLOCK_SETS", most)
+        assert {r.doc_id: r.n_links for r in jaccard.similar_documents(df).collect()} == want
+
+
+@pytest.mark.parametrize("dense", [0, 16, 1 << 20])
+def test_common_shingles_by_pairs_and_products(monkeypatch, dense):
+    monkeypatch.setattr(jaccard, "DENSE", dense)
+    monkeypatch.setattr(jaccard, "COLUMNS", 7)
+    rng = np.random.default_rng(3)
+    a, b = ([np.sort(rng.choice(80, rng.integers(1, 40), replace=False)) for _ in range(k)] for k in (9, 13))
+    assert jaccard._common(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+
+
 def test_similarity_of_repeated_and_null_ids(docs, empty):
     rows = jaccard.similar_documents(docs).collect()
     assert len(rows) == len(brute.TEXTS) + 2
