@@ -71,15 +71,17 @@ _AWKWARD = '}"],{\\" [{'
 def a1(spark, sf):
     """All documents as JSON arrays, a file for each remainder of the key, read again."""
     path = fx.scratch(spark, "arrays")
-    docs = fx.table(spark, sf, "documents").select(
-        "doc_id", "text", F.concat("text", F.lit(_AWKWARD)).alias("awkward"),
-        F.array("doc_id", F.col("doc_id") + 1).alias("numbers"), F.pmod("doc_id", F.lit(8)).alias("file"),
-    )
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text", F.pmod("doc_id", F.lit(8)).alias("file"))
     order = Window.partitionBy("file").orderBy("doc_id")
+    ends = F.lag("doc_id").over(order).isNull(), F.lead("doc_id").over(order).isNull()
+    # the rows are moved with one text; what is made of it comes behind
+    placed = docs.select("file", "doc_id", "text", ends[0].alias("first"), ends[1].alias("last")).select(
+        "file", "first", "last", "doc_id", "text", F.concat("text", F.lit(_AWKWARD)).alias("awkward"),
+        F.array("doc_id", F.col("doc_id") + 1).alias("numbers"),
+    )
     record = F.to_json(F.struct("doc_id", "text", "awkward", "numbers"))
-    opening = F.when(F.lag("doc_id").over(order).isNull(), "[").otherwise(",")
-    closing = F.when(F.lead("doc_id").over(order).isNull(), "]").otherwise("")
-    docs.select("file", F.concat(opening, record, closing)).write.partitionBy("file").text(path)
+    opening, closing = F.when(F.col("first"), "[").otherwise(","), F.when(F.col("last"), "]").otherwise("")
+    placed.select("file", F.concat(opening, record, closing)).write.partitionBy("file").text(path)
     found = readers.read_json_records(spark, f"{path}/*", "doc_id long, text string, awkward string, numbers array<long>")
     return found.select("doc_id", "text", "awkward", F.col("numbers")[1].alias("following"))
 

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from lmprep.cluster import once
+
 
 def _in_block() -> WindowSpec:
     return Window.partitionBy("file", "block").orderBy("at")
@@ -41,17 +43,23 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
         "value",
-        F.regexp_replace("value", r"(?s)\\.", "").alias("bare"),
+        once(F.regexp_replace("value", r"(?s)\\.", "")).alias("bare"),
     ).withColumn("quotes", _count(F.col("bare"), '"'))
-    inside = pieces.withColumn("toggled", _total_before("quotes", _in_block()) % 2)
 
-    def depth(start: int) -> Column:
-        opened = (F.col("toggled") + start) % 2 == 1
-        plain = F.regexp_replace(F.when(opened, F.concat(F.lit('"'), "bare")).otherwise(F.col("bare")), '"[^"]*("|$)', "")
-        closes = (F.col("toggled") + F.col("quotes") + start) % 2 == 0
+    def depth(opened: int) -> Column:
+        plain = F.regexp_replace(F.concat(F.lit('"'), "bare") if opened else F.col("bare"), '"[^"]*("|$)', "")
+        closes = F.col("quotes") % 2 == opened
         return _count(plain, "{[") - _count(plain, "]") - closes.cast("int")
 
-    return inside.withColumn("depth0", depth(0)).withColumn("depth1", depth(1)).drop("bare")
+    # all that is told by the piece alone comes before the windows, so that they move a text once and numbers otherwise
+    told = pieces.select("file", "block", "at", "value", "quotes", depth(0).alias("outside"), depth(1).alias("within"))
+    inside = told.withColumn("toggled", _total_before("quotes", _in_block()) % 2)
+    same = F.col("toggled") == 0
+    return inside.select(
+        "file", "block", "at", "value", "quotes", "toggled",
+        F.when(same, F.col("outside")).otherwise(F.col("within")).alias("depth0"),
+        F.when(same, F.col("within")).otherwise(F.col("outside")).alias("depth1"),
+    )
 
 
 def _starts(pieces: DataFrame) -> DataFrame:

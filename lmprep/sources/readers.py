@@ -26,12 +26,12 @@ from lmprep.sources.specs import (
 def read_json_records(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """UTF-8 JSON files that hold an array of records each.
 
-    The arrays are cut into records in parallel and written once, as lines, to the checkpoint folder; the reader then works on
+    The arrays are cut into records in parallel and written once, as compressed lines, to the checkpoint folder; the reader then works on
     those lines. A file that holds anything else, such as a second array or lines of records, raises ``ValueError``.
     """
     folder = f"{ensure_checkpoint_dir(spark)}/records-{uuid.uuid4().hex}"
     try:
-        json_array_lines(spark, path).write.text(folder)
+        json_array_lines(spark, path).write.option("compression", "gzip").text(folder)
     except PySparkException as e:
         if "not one JSON array" not in str(e):
             raise
