@@ -29,6 +29,8 @@ from lmprep.operators.wide_buffers import assign_wide
 
 BLOCK_ROWS = 262_144
 FAN_IN = 512
+#: Chunks that are put together in one place.
+GROUP = 64
 #: Documents of a buffer, on average, up to which tables of steps are used.
 WIDEST = 1 << 16
 
@@ -236,6 +238,8 @@ class Packed:
     buffers: DataFrame
     rejected: DataFrame
     counts: dict[str, int]
+    #: ``chunks`` with the column ``_group`` by which they are placed.
+    grouped: DataFrame
 
 
 def _place(assigned: DataFrame, seq_len: int) -> DataFrame:
@@ -257,10 +261,11 @@ def _place(assigned: DataFrame, seq_len: int) -> DataFrame:
     return placed.withColumn("_offset", F.col("_ahead") + F.col("_shift")).drop("_block", "_ahead", "_shift")
 
 
-def _cut(docs: DataFrame, ids: Column, placed: DataFrame, order_key: str, seq_len: int) -> DataFrame:
-    """One row per (document, chunk) with that part of the tokens, then one row per chunk.
+def _cut(docs: DataFrame, ids: Column, placed: DataFrame, order_key: str, seq_len: int, as_text: bool = True) -> DataFrame:
+    """One row per chunk, with its ``_group``: ``GROUP`` consecutive chunks, which are put together in one place.
 
-    ``ids`` is evaluated after the join, so text and not its four times wider ids is shuffled by key. The
+    A document is sent to each group it has a part in as text, a fourth of its ids, and its tokens are made there. One of more chunks than
+    a group has, or any that comes as ids, is cut into chunks before, so that nothing is sent more than twice. The
     merge hint keeps the texts out of a broadcast when they look small.
     """
     spans = placed.select(
@@ -273,29 +278,44 @@ def _cut(docs: DataFrame, ids: Column, placed: DataFrame, order_key: str, seq_le
             F.floor((F.col("_offset") + F.col("n_tokens") - 1) / seq_len).cast("long"), F.col("_n_chunks") - 1
         ).alias("_to"),
     ).where(F.col("_from") <= F.col("_to"))
-    chunk_start = F.col("chunk_id") * seq_len
-    skipped = F.greatest(chunk_start - F.col("_offset"), F.lit(0))
-    parts = (
-        docs.join(spans.hint("merge"), [order_key])
-        .select("shard", "buffer_id", "_offset", "_from", "_to", ids.alias("_ids"))
-        .select("shard", "buffer_id", "_offset", "_ids", F.explode(F.sequence("_from", "_to")).alias("chunk_id"))
-        .select(
-            "shard",
-            "buffer_id",
-            "chunk_id",
-            F.struct(
-                (F.col("_offset") + skipped).alias("at"),
-                F.slice(
-                    "_ids",
-                    (skipped + 1).cast("int"),
-                    (chunk_start + seq_len - F.col("_offset") - skipped).cast("int"),
-                ).alias("ids"),
-            ).alias("_part"),
-        )
-    )
-    whole = parts.groupBy("shard", "buffer_id", "chunk_id").agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
+
+    start = F.col("chunk_id") * seq_len
+    skipped = F.greatest(start - F.col("_offset"), F.lit(0))
+    taken = F.slice("_ids", (skipped + 1).cast("int"), (start + seq_len - F.col("_offset") - skipped).cast("int"))
+    part = F.struct((F.col("_offset") + skipped).alias("at"), taken.alias("ids"))
+    place = ["shard", "buffer_id", "_group"]
+
+    def pieces(rows: DataFrame) -> DataFrame:
+        """Chunks from ``_from`` to ``_to`` of documents whose tokens start at ``_offset``."""
+        made = rows.select(*place, "_offset", "_from", "_to", ids.alias("_ids"))
+        return made.select(*place, "_offset", "_ids", F.explode(F.sequence("_from", "_to")).alias("chunk_id"))
+
+    def of(chunk: str) -> Column:
+        return F.floor(F.col(chunk) / GROUP).cast("long")
+
+    given = docs.join(spans.hint("merge"), [order_key]).withColumn("_group", F.lit(None).cast("long"))
+    long = F.col("_to") - F.col("_from") >= GROUP if as_text else F.lit(True)
+    cut = pieces(given.where(long)).select("shard", "buffer_id", of("chunk_id").alias("_group"), "chunk_id", part.alias("_part"))
+    if as_text:
+        sent = given.where(~long).withColumn("_group", F.explode(F.sequence(of("_from"), of("_to"))))
+        sent = sent.select(
+            *place, "_offset", "_text",
+            F.greatest("_from", F.col("_group") * GROUP).alias("_from"), F.least("_to", F.col("_group") * GROUP + GROUP - 1).alias("_to"),
+        )
+        both = sent.unionByName(cut, allowMissingColumns=True).repartition(*place)
+        cut_here = F.col("_part").isNull()
+        # tokens first, in a step of their own: beside the generator they would be made for each chunk
+        made = both.select(
+            *place, "_offset", "_part", F.when(cut_here, ids).alias("_ids"),
+            F.when(cut_here, F.sequence("_from", "_to")).otherwise(F.array("chunk_id")).alias("_numbers"),
+        )
+        here = made.select(*place, "_offset", "_part", "_ids", F.explode("_numbers").alias("chunk_id"))
+        parts = here.select(*place, "chunk_id", F.coalesce("_part", part).alias("_part"))
+    else:
+        parts = cut.repartition(*place)
+    whole = parts.groupBy(*place, "chunk_id").agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
     return whole.select(
-        "shard", "buffer_id", "chunk_id", F.flatten(F.transform("_parts", lambda p: p["ids"])).alias("input_ids")
+        *place, "chunk_id", F.flatten(F.transform("_parts", lambda p: p["ids"])).alias("input_ids")
     )
 
 
@@ -355,7 +375,8 @@ def pack_documents(
         F.max("_n_chunks").alias("n_chunks"),
         (F.sum("n_tokens") - F.max("_n_chunks") * seq_len).alias("n_dropped_tokens"),
     )
-    return Packed(_cut(docs, ids, placed, order_key, seq_len), buffers, known.where(null).select(order_key), counts)
+    grouped = _cut(docs, ids, placed, order_key, seq_len, as_text=tok.prefix_stable)
+    return Packed(grouped.drop("_group"), buffers, known.where(null).select(order_key), counts, grouped)
 
 
 def pack_sequences(
@@ -370,14 +391,14 @@ def pack_sequences(
     packed = pack_documents(df, tok, seq_len, **options)
     chunks = packed.chunks
     if shuffle_seed is not None:
-        chunks = chunk_shuffle(chunks, packed.buffers, shuffle_seed)
+        chunks = chunk_shuffle(packed.grouped, packed.buffers, shuffle_seed)
     return chunks.withColumn("labels", F.col("input_ids"))
 
 
 def chunk_shuffle(chunks: DataFrame, buffers: DataFrame, seed: int) -> DataFrame:
     """Seeded order of the chunks inside each buffer.
 
-    Ranks are made from (buffer, chunk number) alone and joined on the key the chunks are already
+    Ranks are made from (buffer, chunk number) alone and joined by group of chunks, the key the chunks are already
     partitioned by.
     """
     numbers = buffers.where(F.col("n_chunks") > 0).select(
@@ -386,7 +407,8 @@ def chunk_shuffle(chunks: DataFrame, buffers: DataFrame, seed: int) -> DataFrame
     rank = F.row_number().over(
         Window.partitionBy("shard", "buffer_id").orderBy(seeded_order(seed, F.col("chunk_id")), "chunk_id")
     )
-    ranked = numbers.withColumn("chunk_pos", rank - 1)
-    return chunks.join(ranked, ["shard", "buffer_id", "chunk_id"])
-
-
+    place = ["shard", "buffer_id", "_group"]
+    ranked = numbers.withColumn("_pos", rank - 1).withColumn("_group", F.floor(F.col("chunk_id") / GROUP).cast("long"))
+    ranks = ranked.groupBy(*place).agg(F.map_from_entries(F.collect_list(F.struct("chunk_id", "_pos"))).alias("_ranks"))
+    joined = chunks.join(ranks, place)
+    return joined.withColumn("chunk_pos", F.element_at("_ranks", F.col("chunk_id"))).drop("_ranks", "_group")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lmprep.functions.tokenizers import CodepointTokenizer
-from lmprep.operators import wide_buffers
+from lmprep.operators import packing, wide_buffers
 from lmprep.sources import readers
 from lmprep.operators.packing import (
     chars_per_token, pack_documents, pack_sequences, steps_of_documents, then,
@@ -168,3 +168,20 @@ def test_chars_per_token(spark):
     assert (row.n_chars, row.n_tokens, row.chars_per_token) == (5, 7, 5 / 7)
     with pytest.raises(Exception, match="no rows to estimate from"):
         chars_per_token(df.limit(0), TOK).collect()
+
+
+def test_texts_and_not_ids_are_sent_to_their_chunks(spark, monkeypatch):
+    """Documents within a group of chunks, across groups, and longer than one; whatever group they meet in, chunks are the same."""
+    texts = [(i, "abcdefg"[i % 7] * (i * 37 % 90)) for i in range(60)] + [(60, "x" * 700), (61, ""), (62, "y" * 300)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    tokens = [t for _, text in texts for t in [1, *(ord(c) + 3 for c in text), TOK.eos_id]]
+    want = [tokens[i : i + 8] for i in range(0, len(tokens) - 7, 8)]
+    for group in (1, 3, 64):
+        monkeypatch.setattr(packing, "GROUP", group)
+        got = pack_sequences(df, TOK, 8, shuffle_seed=3, num_sequences=10_000, chars_per_token=1.0)
+        rows = got.orderBy("chunk_id").collect()
+        assert [list(r.input_ids) for r in rows] == want
+        assert sorted(r.chunk_pos for r in rows) == list(range(len(want)))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    moved = next(line for line in plan.splitlines() if "RepartitionByExpression" in line)
+    assert "_group" in moved and "_text" in plan[plan.index(moved) :].splitlines()[2]
