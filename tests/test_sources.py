@@ -250,3 +250,20 @@ def test_mix_is_stored_in_step_order(spark, tmp_path):
     two = build_dataset(spark, "culturax", f"{tmp_path}/docs:a,{tmp_path}/docs:b", tok, options)
     assert 0 < one.count() < two.count() and two.where(F.size("input_ids") != 32).count() == 0
     assert any("/stored-" in f for f in two.inputFiles()) and not any("/docs" in f for f in two.inputFiles())
+
+
+def test_windows_over_pieces_carry_one_text(spark, tmp_path):
+    """A piece passes the windows as it is, without the copy that its numbers are told from."""
+    from lmprep.sources.json_arrays import json_array_lines
+
+    (tmp_path / "a.json").write_text('[{"a": "}"}, {"a": 2}]')
+    found = json_array_lines(spark, str(tmp_path / "a.json"))
+    assert [r.value for r in found.collect()] == ['{"a": "}"}', '{"a": 2}']
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    windows = [n.output().mkString(" ") for n in nodes(found._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Window"]
+    assert windows and not any("bare#" in w for w in windows)
