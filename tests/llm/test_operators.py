@@ -1,6 +1,7 @@
 import collections
 import datetime
 import hashlib
+import math
 import random
 import re
 import time
@@ -327,6 +328,43 @@ def test_lines(spark, docs, empty):
     assert line_templates.drop_recurring(docs).count() == docs.count() and line_templates.drop_recurring(empty).count() == 0
 
 
+def test_lines_that_agree_with_each_other_but_not_with_the_most_frequent(spark):
+    words = "one two three {} five six seven eight nine ten"
+    seed, other = "one two three aa bb cc dd ee ff gg", words.format("four")
+    chain = [other, other.replace("four", "x"), other.replace("four", "x").replace("five six", "y z")]
+    rows = [(1, seed), (2, seed), (3, seed), (4, chain[0]), (5, chain[2]), (6, chain[1]), (7, "one two three aa bb cc hh ii jj kk")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in line_templates.drop_recurring(df).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0, 5: 1, 6: 1, 7: 0}
+
+
+@pytest.mark.parametrize("agree", [0.8, 0.5, 0.0])
+def test_links_of_large_leaves_are_those_of_all_pairs(spark, agree):
+    rng = random.Random(6)
+    leaves = {}
+    for leaf, (size, n, kinds) in enumerate([(10, 300, 4), (12, 200, 3), (25, 150, 2), (11, 2, 2), (10, 40, 60)]):
+        made = {("a", "b", "c", *(str(rng.randrange(kinds)) for _ in range(size - 3))) for _ in range(n)}
+        for line in rng.sample(sorted(made), len(made) // 4):  # some that are close
+            at = rng.randrange(3, size)
+            made.add((*line[:at], "near", *line[at + 1 :]))
+        leaves[leaf] = sorted(made)
+    rows = [(leaf, 1000 * leaf + i, list(t)) for leaf, made in leaves.items() for i, t in enumerate(made)]
+    want = {}
+    for leaf, made in leaves.items():
+        top = list(range(len(made)))
+        linked = [
+            (i, j) for j in range(len(made)) for i in range(j)
+            if sum(x == y for x, y in zip(made[i], made[j])) >= math.ceil(agree * len(made[i]))
+        ]
+        for i, j in linked:
+            a, b = sorted((top[i], top[j]))
+            top = [a if t == b else t for t in top]
+        want |= {1000 * leaf + x: 1000 * leaf + top[x] for pair in linked for x in pair}
+    spelled = spark.createDataFrame(rows, "leaf long, template long, tokens array<string>")
+    got = [tuple(r) for r in line_templates.linked(spelled, line_templates.Tree(agree=agree), few=1).select("template", "root").collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
 def test_plan_is_best_fit_decreasing():
     rng = random.Random(7)
     for _ in range(200):
