@@ -76,8 +76,8 @@ def _endings(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return WORDS + (last * 31 + data[np.maximum(ends - 2, 0)]) % ENDINGS
 
 
-def _windows(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For each word the words at ``SIDES``; outside the text there is the number behind the last output."""
+def _windows(ids: np.ndarray, counts: np.ndarray, chosen: slice = slice(None)) -> np.ndarray:
+    """For each word, or each chosen one, the words at ``SIDES``; outside the text there is the number behind the last output."""
     edge = WORDS + ENDINGS
     reach = max(SIDES)
     n_texts = len(counts) - 1
@@ -85,7 +85,8 @@ def _windows(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     spaced = np.full(len(ids) + reach * (n_texts + 1), edge, np.int64)
     place = np.arange(len(ids)) + reach * (text + 1)
     spaced[place] = ids
-    return np.stack([spaced[place + s] for s in SIDES], axis=1)
+    place = place[chosen]
+    return np.stack([spaced.take(place + s) for s in SIDES], axis=1)
 
 
 class Network:
@@ -113,10 +114,10 @@ class Network:
         return self
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        total = self.params["E"][0][around[:, 0]]
+        total = self.params["E"][0].take(around[:, 0], axis=0)
         for side in range(1, len(SIDES)):
-            total = total + self.params["E"][side][around[:, side]]
-        return np.tanh(total)
+            total += self.params["E"][side].take(around[:, side], axis=0)
+        return np.tanh(total, out=total)
 
     def log_probs(self, around: np.ndarray, words: np.ndarray) -> np.ndarray:
         """log P(word | around) of each row."""
@@ -131,7 +132,7 @@ class Network:
     def train(self, around: np.ndarray, words: np.ndarray) -> None:
         """One Adagrad step on a batch."""
         order = np.argsort((words // GROUP).astype(np.int16), kind="stable")
-        around, words = around[order], words[order]  # by class, so that each one's rows are a slice
+        around, words = around.take(order, axis=0), words[order]  # by class, so that each one's rows are a slice
         h, cls, n = self.hidden(around), words // GROUP, np.float32(len(words))
         error = _errors(h @ self.params["U"] + self.params["c"], cls)
         back = error @ self.params["U"].T
@@ -139,13 +140,16 @@ class Network:
         steps["W"], steps["w"] = np.zeros(self.shapes["W"], np.float32), np.zeros(self.shapes["w"], np.float32)
         cuts = np.concatenate([[0], np.flatnonzero(cls[1:] != cls[:-1]) + 1, [len(cls)]])
         slices = [(c, slice(a, b)) for c, a, b in zip(cls[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist())]
-        logits = self.params["w"][cls]
+        logits, products = self.params["w"].take(cls, axis=0), np.empty((len(words), GROUP), np.float32)
         for c, rows in slices:
-            logits[rows] += h[rows] @ self.params["W"][c]
-        error = _errors(logits, words % GROUP)
+            np.matmul(h[rows], self.params["W"][c], out=products[rows])
+        logits += products
+        error, products = _errors(logits, words % GROUP), np.empty_like(back)
         for c, rows in slices:
-            back[rows] += error[rows] @ self.params["W"][c].T
-            np.matmul(h[rows].T, error[rows], out=steps["W"][c])
+            of = error[rows]
+            np.matmul(of, self.params["W"][c].T, out=products[rows])
+            np.matmul(h[rows].T, of, out=steps["W"][c])
+        back += products
         steps["w"][cls[cuts[:-1]]] = np.add.reduceat(error, cuts[:-1], axis=0)
         back *= 1 - h * h
         for k, step in steps.items():
@@ -162,11 +166,14 @@ class Network:
         order = np.argsort(rows.astype(np.int16), kind="stable")
         rows = rows[order]
         firsts = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1])
-        step, rows = np.add.reduceat(back[order // len(SIDES)], firsts, axis=0), rows[firsts]
+        step, rows = np.add.reduceat(back.take(order // len(SIDES), axis=0), firsts, axis=0), rows[firsts]
         speed, params = self.speed["E"].reshape(-1, DIM), self.params["E"].reshape(-1, DIM)
-        moved = speed[rows] + step * step
+        moved = speed.take(rows, axis=0)
+        moved += step * step
         speed[rows] = moved
-        params[rows] -= RATE * step / np.sqrt(moved)
+        step *= RATE
+        step /= np.sqrt(moved, out=moved)
+        params[rows] = np.subtract(params.take(rows, axis=0), step, out=step)
 
 
 def _top(logits: np.ndarray) -> np.ndarray:
@@ -179,11 +186,13 @@ def _top(logits: np.ndarray) -> np.ndarray:
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
     top = _top(logits)
-    return top[:, 0] + np.log(np.exp(logits - top) @ np.ones(logits.shape[1], logits.dtype))
+    p = logits - top
+    return top[:, 0] + np.log(np.exp(p, out=p) @ np.ones(logits.shape[1], logits.dtype))
 
 
 def _errors(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
-    p = np.exp(logits - _top(logits))
+    p = logits - _top(logits)
+    np.exp(p, out=p)
     p /= (p @ np.ones(p.shape[1], p.dtype))[:, None]
     p[np.arange(len(target)), target] -= 1
     return p
@@ -274,11 +283,11 @@ def train(
             for batch in batches:
                 for ids, counts in _numbered(batch.column(0), known):
                     seen += len(ids)
-                    masked = np.arange(turn, len(ids), mask * rounds)
-                    around = np.concatenate([around, _windows(ids, counts)[masked]])
+                    masked = slice(turn, None, mask * rounds)
+                    around = np.concatenate([around, _windows(ids, counts, masked)])
                     words = np.concatenate([words, ids[masked]])
                     shuffled = np.random.default_rng(turn).permutation(len(words))
-                    around, words = around[shuffled], words[shuffled]
+                    around, words = around.take(shuffled, axis=0), words[shuffled]
                     whole = len(words) - len(words) % batch_size
                     for at in range(0, whole, batch_size):
                         network.train(around[at : at + batch_size], words[at : at + batch_size])

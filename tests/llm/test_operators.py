@@ -481,6 +481,12 @@ def test_scores_of_empty_table(empty):
     assert lm_score.pseudo_likelihood(empty).count() == 0
 
 
+def test_windows_of_chosen_positions_are_those_of_all():
+    ids, counts = np.arange(40, dtype=np.int64), np.array([0, 1, 1, 17, 40])
+    for chosen in (slice(0, None, 2), slice(1, None, 2), slice(50, None, 2)):
+        assert (lm_score._windows(ids, counts, chosen) == lm_score._windows(ids, counts)[chosen]).all()
+
+
 def test_training_sees_every_position(spark):
     """What only later positions of each text tell is learnt too."""
     rng = random.Random(4)
