@@ -90,119 +90,141 @@ def _windows(ids: np.ndarray, counts: np.ndarray, chosen: slice = slice(None)) -
 
 
 class Network:
+    """Parameters are views of one array, the tables of all sides first, so that a step is taken on all others at once."""
+
     def __init__(self, weights: np.ndarray):
         rng = np.random.default_rng(11)
         size, classes = WORDS + ENDINGS, (WORDS + ENDINGS) // GROUP
         grouped = weights.reshape(classes, GROUP)
         self.shapes = {"E": (len(SIDES), size + 1, DIM), "U": (DIM, classes), "c": (classes,), "W": (classes, DIM, GROUP), "w": (classes, GROUP)}
-        self.params = {
+        start = {
             "E": rng.normal(0, 0.3, self.shapes["E"]), "U": rng.normal(0, 0.1, self.shapes["U"]), "c": np.log(grouped.sum(axis=1)),
             "W": rng.normal(0, 0.1, self.shapes["W"]), "w": np.log(grouped) - np.log(grouped.sum(axis=1, keepdims=True)),
         }
-        self.params = {k: v.astype(np.float32) for k, v in self.params.items()}
-        self.speed = {k: np.full(v.shape, 0.1, np.float32) for k, v in self.params.items()}
+        self.all = np.concatenate([start[k].ravel() for k in self.shapes]).astype(np.float32)
+        self.params = self._views(self.all)
+        self.tables = self.params["E"].reshape(-1, DIM)
+        self.speed = np.full(len(self.all), 0.1, np.float32)
+        self.step = np.zeros(len(self.all), np.float32)
+        self.steps = self._views(self.step)
+
+    def _views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        ends = np.cumsum([int(np.prod(shape)) for shape in self.shapes.values()])[:-1]
+        return {k: part.reshape(shape) for (k, shape), part in zip(self.shapes.items(), np.split(flat, ends))}
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.params[k].ravel() for k in self.shapes])
+        return self.all.copy()
 
     def load(self, flat: np.ndarray) -> "Network":
-        at = 0
-        for k, shape in self.shapes.items():
-            size = int(np.prod(shape))
-            self.params[k] = flat[at : at + size].reshape(shape).astype(np.float32)
-            at += size
+        self.all[:] = flat
         return self
 
-    def hidden(self, around: np.ndarray) -> np.ndarray:
-        total = self.params["E"][0].take(around[:, 0], axis=0)
+    def _rows(self, around: np.ndarray) -> np.ndarray:
+        """For each side, the rows of ``tables`` that its words have."""
+        return np.add(around.T, np.arange(len(SIDES))[:, None] * self.shapes["E"][1], order="C")
+
+    def hidden(self, rows: np.ndarray) -> np.ndarray:
+        total = self.tables.take(rows[0], axis=0)
         for side in range(1, len(SIDES)):
-            total += self.params["E"][side].take(around[:, side], axis=0)
+            total += self.tables.take(rows[side], axis=0)
         return np.tanh(total, out=total)
 
     def log_probs(self, around: np.ndarray, words: np.ndarray) -> np.ndarray:
         """log P(word | around) of each row."""
-        h, cls, out = self.hidden(around), words // GROUP, np.empty(len(words))
-        logits = h @ self.params["U"] + self.params["c"]
-        out[:] = logits[np.arange(len(words)), cls] - _log_sum(logits)
-        for c, rows in _by_class(cls):
-            logits = h[rows] @ self.params["W"][c] + self.params["w"][c]
-            out[rows] += logits[np.arange(len(rows)), words[rows] % GROUP] - _log_sum(logits)
+        h, cls, out = self.hidden(self._rows(around)), words // GROUP, np.empty(len(words))
+        logits = h @ self.params["U"]
+        logits += self.params["c"]
+        out[:] = _at(logits, cls) - _log_sum(logits)
+        order, slices = _by_class(cls)
+        h, within, inner = h.take(order, axis=0), (words % GROUP)[order], np.empty(len(words), np.float32)
+        for c, rows in slices:
+            logits = h[rows] @ self.params["W"][c]
+            logits += self.params["w"][c]
+            inner[rows] = _at(logits, within[rows]) - _log_sum(logits)
+        out[order] += inner
         return out
 
     def train(self, around: np.ndarray, words: np.ndarray) -> None:
         """One Adagrad step on a batch."""
-        order = np.argsort((words // GROUP).astype(np.int16), kind="stable")
+        order, slices = _by_class(words // GROUP)
         around, words = around.take(order, axis=0), words[order]  # by class, so that each one's rows are a slice
-        h, cls, n = self.hidden(around), words // GROUP, np.float32(len(words))
-        error = _errors(h @ self.params["U"] + self.params["c"], cls)
-        back = error @ self.params["U"].T
-        steps = {"U": h.T @ error, "c": error.sum(axis=0)}
-        steps["W"], steps["w"] = np.zeros(self.shapes["W"], np.float32), np.zeros(self.shapes["w"], np.float32)
-        cuts = np.concatenate([[0], np.flatnonzero(cls[1:] != cls[:-1]) + 1, [len(cls)]])
-        slices = [(c, slice(a, b)) for c, a, b in zip(cls[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist())]
-        logits, products = self.params["w"].take(cls, axis=0), np.empty((len(words), GROUP), np.float32)
-        for c, rows in slices:
-            np.matmul(h[rows], self.params["W"][c], out=products[rows])
+        n, rows, cls = len(words), self._rows(around), words // GROUP
+        params, steps = self.params, self.steps
+        h = self.hidden(rows)
+        logits = np.dot(h, params["U"])
+        logits += params["c"]
+        error = _errors(logits, cls)
+        back = np.dot(error, params["U"].T)
+        np.dot(h.T, error, out=steps["U"])
+        error.sum(axis=0, out=steps["c"])
+        logits, products = params["w"].take(cls, axis=0), np.empty((n, GROUP), np.float32)
+        # np.dot makes the same calls as np.matmul with less around them; there are about 90 small products
+        for c, part in slices:
+            np.dot(h[part], params["W"][c], out=products[part])
         logits += products
         error, products = _errors(logits, words % GROUP), np.empty_like(back)
-        for c, rows in slices:
-            of = error[rows]
-            np.matmul(of, self.params["W"][c].T, out=products[rows])
-            np.matmul(h[rows].T, of, out=steps["W"][c])
+        steps["W"].fill(0)
+        steps["w"].fill(0)
+        for c, part in slices:
+            of = error[part]
+            np.dot(of, params["W"][c].T, out=products[part])
+            np.dot(h[part].T, of, out=steps["W"][c])
         back += products
-        steps["w"][cls[cuts[:-1]]] = np.add.reduceat(error, cuts[:-1], axis=0)
+        steps["w"][[c for c, _ in slices]] = np.add.reduceat(error, [part.start for _, part in slices], axis=0)
         back *= 1 - h * h
-        for k, step in steps.items():
-            step /= n
-            self.speed[k] += step * step
-            root = np.sqrt(self.speed[k])
-            step *= RATE
-            step /= root
-            self.params[k] -= step
-        back /= n
-        # the tables of all sides as one, its rows in one order
-        size = len(self.params["E"][0])
-        rows = (around + np.arange(len(SIDES)) * size).ravel()
-        order = np.argsort(rows.astype(np.int16), kind="stable")
-        rows = rows[order]
-        firsts = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1])
-        step, rows = np.add.reduceat(back.take(order // len(SIDES), axis=0), firsts, axis=0), rows[firsts]
-        speed, params = self.speed["E"].reshape(-1, DIM), self.params["E"].reshape(-1, DIM)
+        back /= np.float32(n)
+        others = slice(self.tables.size, None)
+        step, speed = self.step[others], self.speed[others]
+        step /= np.float32(n)
+        square = step * step
+        speed += square
+        step *= RATE
+        step /= np.sqrt(speed, out=square)
+        self.all[others] -= step
+        step, rows = _sums_by_row(rows.ravel(), back)
+        speed = self.speed[: self.tables.size].reshape(-1, DIM)
         moved = speed.take(rows, axis=0)
         moved += step * step
         speed[rows] = moved
         step *= RATE
         step /= np.sqrt(moved, out=moved)
-        params[rows] = np.subtract(params.take(rows, axis=0), step, out=step)
+        self.tables[rows] = np.subtract(self.tables.take(rows, axis=0), step, out=step)
+
+
+def _sums_by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of ``values``, which repeat until there is one for each of ``rows``, by row, and the distinct rows in order."""
+    order = np.argsort(rows.astype(np.int16), kind="stable")
+    rows, order = rows[order], order % len(values)
+    firsts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return np.add.reduceat(values.take(order, axis=0), firsts, axis=0), rows[firsts]
 
 
-def _top(logits: np.ndarray) -> np.ndarray:
-    """The largest of each row, by halves: faster than a reduction over short rows. Their length is a power of two times an odd number."""
-    while logits.shape[1] % 2 == 0:
-        half = logits.shape[1] // 2
-        logits = np.maximum(logits[:, :half], logits[:, half:])
-    return logits.max(axis=1, keepdims=True)
+def _at(table: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """One entry of each row."""
+    return table.ravel().take(np.arange(0, table.size, table.shape[1]) + columns)
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
-    top = _top(logits)
-    p = logits - top
-    return top[:, 0] + np.log(np.exp(p, out=p) @ np.ones(logits.shape[1], logits.dtype))
+    """Log of the sum of exponentials of each row; ``logits`` is used up."""
+    top = logits.max(axis=1)
+    logits -= top[:, None]
+    return top + np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype))
 
 
 def _errors(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
-    p = logits - _top(logits)
-    np.exp(p, out=p)
+    """Probabilities of each row less 1 at its target, in the place of ``logits``."""
+    logits -= logits.max(axis=1, keepdims=True)
+    p = np.exp(logits, out=logits)
     p /= (p @ np.ones(p.shape[1], p.dtype))[:, None]
-    p[np.arange(len(target)), target] -= 1
+    p.reshape(-1)[np.arange(0, p.size, p.shape[1]) + target] -= 1
     return p
 
 
-def _by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(cls.astype(np.int16), kind="stable")
-    cuts = np.flatnonzero(np.r_[True, np.diff(cls[order]) != 0, True])
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        yield int(cls[order[a]]), order[a:b]
+def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order by class, and the slice of each class in it."""
+    order = np.argsort(cls.astype(np.uint8), kind="stable")
+    ends = np.cumsum(np.bincount(cls)).tolist()
+    return order, [(c, slice(a, b)) for c, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
 
 
 def count_words(docs: DataFrame, text: str = "text") -> Vocabulary:
@@ -210,16 +232,18 @@ def count_words(docs: DataFrame, text: str = "text") -> Vocabulary:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        endings = np.zeros(ENDINGS, np.int64)
+        endings, waiting, size = np.zeros(ENDINGS, np.int64), [], 0
         for batch in batches:
             for part in chunks(batch.column(0)):
                 data, offsets = text_buffer(part)
                 starts, ends, _ = word_spans(data, offsets)
                 endings += np.bincount(_endings(data, ends) - WORDS, minlength=ENDINGS)
-                new, found = np.unique(word_hashes(data, starts, ends, lower=True), return_counts=True)
-                every = np.concatenate([words, new])
-                words, place = np.unique(every, return_inverse=True)
-                counts = np.bincount(place, np.concatenate([counts, found]), len(words)).astype(np.int64)
+                waiting.append(np.unique(word_hashes(data, starts, ends, lower=True), return_counts=True))
+                size += len(waiting[-1][0])
+                if size > len(words):  # so that a word is moved a few times only, however many parts there are
+                    words, counts = _added_up([(words, counts), *waiting])
+                    waiting, size = [], 0
+        words, counts = _added_up([(words, counts), *waiting])
         for at in range(0, len(words), 50_000):
             part = slice(at, at + 50_000)
             yield _pairs(words[part].astype(np.int64), counts[part], False)
@@ -227,8 +251,10 @@ def count_words(docs: DataFrame, text: str = "text") -> Vocabulary:
 
     found = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "word long, n long, ending boolean")
     totals = found.groupBy("ending", "word").agg(F.sum("n").alias("n"))
-    rows = totals.orderBy("ending", F.desc("n"), "word").where(~F.col("ending")).limit(WORDS).collect()
-    endings = {r["word"]: r["n"] for r in totals.where("ending").collect()}
+    # one job: each partition yields all endings, so they are the first ENDINGS rows, and the words are counted once
+    first = totals.orderBy(F.desc("ending"), F.desc("n"), "word").limit(ENDINGS + WORDS).collect()
+    rows = [r for r in first if not r["ending"]]
+    endings = {r["word"]: r["n"] for r in first if r["ending"]}
     hashes = np.array([r["word"] for r in rows], np.int64).astype(np.uint64)
     weights = np.full(WORDS + ENDINGS, 0.5)
     weights[: len(rows)] += [r["n"] for r in rows]
@@ -238,6 +264,15 @@ def count_words(docs: DataFrame, text: str = "text") -> Vocabulary:
     return Vocabulary(hashes[order], order, weights / weights.sum())
 
 
+def _added_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words and their sums of counts, from parts that are sorted by word."""
+    words, counts = (np.concatenate(x) for x in zip(*parts))
+    order = words.argsort(kind="stable")  # merges sorted runs
+    words, counts = words[order], counts[order]
+    firsts = np.flatnonzero(np.r_[True, words[1:] != words[:-1]][: len(words)])
+    return words[firsts], np.add.reduceat(counts, firsts) if len(firsts) else counts
+
+
 def _pairs(words: np.ndarray, counts: np.ndarray, ending: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(
         {"word": pa.array(words, pa.int64()), "n": pa.array(counts, pa.int64()), "ending": pa.array(np.full(len(words), ending))}
