@@ -12,7 +12,7 @@ such tables are found by doubling links (``wide_buffers``).
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +33,8 @@ FAN_IN = 512
 GROUP = 64
 #: Documents of a buffer, on average, up to which tables of steps are used.
 WIDEST = 1 << 16
+#: Documents that may take one text before it is copied, and how many texts are copied at most.
+COPIED, MOST_COPIED = 64, 100_000
 
 
 def chars_per_token(df: DataFrame, tok: Tokenizer, n: int = 500, order_key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -261,7 +263,26 @@ def _place(assigned: DataFrame, seq_len: int) -> DataFrame:
     return placed.withColumn("_offset", F.col("_ahead") + F.col("_shift")).drop("_block", "_ahead", "_shift")
 
 
-def _cut(docs: DataFrame, ids: Column, placed: DataFrame, order_key: str, seq_len: int, as_text: bool = True) -> DataFrame:
+def _often_taken(assigned: DataFrame, text_key: list[str], n_documents: int) -> DataFrame | None:
+    """Texts that more than ``COPIED`` documents take, with the copies they need; None where there is none. They fit a broadcast."""
+    most = max(COPIED, math.ceil(n_documents / MOST_COPIED))
+    taken = assigned.groupBy(*text_key).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    often = reliable(taken.select(*text_key, F.ceil(F.col("_n") / most).cast("int").alias("_copies")))
+    return None if often.isEmpty() else often
+
+
+def _copied(docs: DataFrame, placed: DataFrame, text_key: list[str], often: DataFrame | None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Texts and the documents that take them, with the key by which they meet: no task joins a text with all of very many documents."""
+    if often is None:
+        return docs, placed, text_key
+    copies = F.coalesce("_copies", F.lit(1))
+    spread = F.pmod(F.xxhash64("shard", "buffer_id", "_offset"), copies).cast("int")
+    placed = placed.join(F.broadcast(often), text_key, "left").withColumn("_copy", spread)
+    docs = docs.join(F.broadcast(often), text_key, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+    return docs.drop("_copies"), placed.drop("_copies"), [*text_key, "_copy"]
+
+
+def _cut(docs: DataFrame, ids: Column, placed: DataFrame, text_key: list[str], seq_len: int, as_text: bool = True) -> DataFrame:
     """One row per chunk, with its ``_group``: ``GROUP`` consecutive chunks, which are put together in one place.
 
     A document is sent to each group it has a part in as text, a fourth of its ids, and its tokens are made there. One of more chunks than
@@ -269,7 +290,7 @@ def _cut(docs: DataFrame, ids: Column, placed: DataFrame, order_key: str, seq_le
     merge hint keeps the texts out of a broadcast when they look small.
     """
     spans = placed.select(
-        order_key,
+        *text_key,
         "shard",
         "buffer_id",
         "_offset",
@@ -293,7 +314,7 @@ def _cut(docs: DataFrame, ids: Column, placed: DataFrame, order_key: str, seq_le
     def of(chunk: str) -> Column:
         return F.floor(F.col(chunk) / GROUP).cast("long")
 
-    given = docs.join(spans.hint("merge"), [order_key]).withColumn("_group", F.lit(None).cast("long"))
+    given = docs.join(spans.hint("merge"), text_key).withColumn("_group", F.lit(None).cast("long"))
     long = F.col("_to") - F.col("_from") >= GROUP if as_text else F.lit(True)
     cut = pieces(given.where(long)).select("shard", "buffer_id", of("chunk_id").alias("_group"), "chunk_id", part.alias("_part"))
     if as_text:
@@ -334,30 +355,39 @@ def pack_documents(
     fan_in: int = FAN_IN,
     widest: int = WIDEST,
     null_text: str = "quarantine",
+    texts: DataFrame | None = None,
+    text_key: Sequence[str] = (),
 ) -> Packed:
     """Pack documents in key order; with ``shards`` each shard is a pass of its own.
 
     A document whose text is null is not packed: its key is among the ``rejected``, or ``null_text="raise"`` makes it an error.
 
-    ``formatting`` maps the frame to the text column to pack. Tokens are made once per document, after
+    With ``texts``, documents hold only the ``text_key`` of their text there, which any number of them may take: each text moves
+    once to meet its documents, and nothing is written before that but keys and lengths. A key that is not among them is a null text.
+
+    ``formatting`` maps the frame with the texts to the text column to pack. Tokens are made once per document, after
     the plan is fixed for the built-in tokenizer and before it for a model tokenizer.
     """
-    source = formatting(df) if formatting else F.col(text)
+    held = df if texts is None else texts
+    by = [order_key] if texts is None else list(text_key)
+    source = formatting(held) if formatting else F.col(text)
     if null_text not in ("quarantine", "raise"):
         raise ValueError(f"unknown mode for null texts: {null_text}")
-    docs = df.select(order_key, source.alias("_text"))
+    docs = held.select(*by, source.alias("_text"))
     end = F.array(F.lit(concat_id(tok, default_concat_id)))
     ids = F.concat(tok.encode(F.col("_text")), end)
     if tok.prefix_stable:
         counted = docs.select(
-            order_key, F.length("_text").cast("long").alias("n_chars"),
+            *by, F.length("_text").cast("long").alias("n_chars"),
             (tok.count(F.col("_text")) + 1).cast("long").alias("n_tokens"),
         )
     else:
         # a model runs once: its ids are kept in the checkpoint folder and read by both passes
-        docs = reliable(docs.select(order_key, F.length("_text").cast("long").alias("n_chars"), ids.alias("_ids")))
+        docs = reliable(docs.select(*by, F.length("_text").cast("long").alias("n_chars"), ids.alias("_ids")))
         ids = F.col("_ids")
-        counted = docs.select(order_key, "n_chars", F.size("_ids").cast("long").alias("n_tokens"))
+        counted = docs.select(*by, "n_chars", F.size("_ids").cast("long").alias("n_tokens"))
+    if texts is not None:
+        counted = df.select(order_key, *by).join(counted, by, "left")
     # written first: range sorting samples its input, which must not be a second pass over the texts
     known = reliable(counted.withColumn("shard", hash_shard(F.col(order_key), shards)))
     null = F.col("n_chars").isNull()
@@ -375,7 +405,9 @@ def pack_documents(
         F.max("_n_chunks").alias("n_chunks"),
         (F.sum("n_tokens") - F.max("_n_chunks") * seq_len).alias("n_dropped_tokens"),
     )
-    grouped = _cut(docs, ids, placed, order_key, seq_len, as_text=tok.prefix_stable)
+    often = None if texts is None else _often_taken(assigned, by, counts["documents"])
+    docs, taking, met = _copied(docs, placed, by, often)
+    grouped = _cut(docs, ids, taking, met, seq_len, as_text=tok.prefix_stable)
     return Packed(grouped.drop("_group"), buffers, known.where(null).select(order_key), counts, grouped)
 
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 from lmprep.cluster import stored
 from lmprep.functions.templates import instruction_prompt
 from lmprep.functions.tokenizers import Tokenizer
 from lmprep.operators.labels import mask_chat_labels, mask_instruction_labels
-from lmprep.operators.mixing import mix_sources
+from lmprep.operators.mixing import combine_sources, mix_sources
 from lmprep.operators.packing import chars_per_token, pack_sequences
+from lmprep.operators.sampling import head
 from lmprep.operators.validation import validate_nonempty, validate_roles
 from lmprep.sources import schemas
 from lmprep.sources.readers import read_pretokenized, read_source, scan_raw_text
@@ -20,6 +21,10 @@ from lmprep.sources.specs import load_prompt_format, parse_validation_spec
 from lmprep.sources.writers import materialize
 
 
+#: Rows of a corpus by which characters per token are estimated.
+ESTIMATE_ROWS = 500
+
+
 @dataclass(frozen=True)
 class DatasetOptions:
     """Settings shared by the dataset kinds, with the trainer's defaults."""
@@ -73,16 +78,20 @@ def _raw_text(spark, spec, tok, options, split) -> DataFrame:
     corpora = scan_raw_text(spark, spec, split, key)
     if len(corpora) == 1:
         (raw,) = corpora.values()
+        estimated, texts, text_key = raw, None, ()
     else:
-        mixed = mix_sources(corpora, key, options.interleave_probs, options.seed, options.stopping_strategy)
-        # written once, each file in step order: the estimate reads the first row groups, packing first the lengths and then
-        # the texts
-        raw, key = stored(mixed.select("step", "text").sortWithinPartitions("step")), "step"
-    ratio = chars_per_token(raw, tok, order_key=key).first()["chars_per_token"]
+        # keys are mixed and written in step order; the estimate takes the texts of the first steps, packing the lengths of all and
+        # then the texts, each of which moves once however often it is drawn
+        keys = {name: rows.select(key) for name, rows in corpora.items()}
+        mixed = mix_sources(keys, key, options.interleave_probs, options.seed, options.stopping_strategy)
+        raw = stored(mixed.select("step", "source", key).sortWithinPartitions("step"))
+        texts, text_key, key = combine_sources(corpora), ["source", key], "step"
+        estimated = texts.join(F.broadcast(head(raw, ESTIMATE_ROWS, key)), text_key)
+    ratio = chars_per_token(estimated, tok, ESTIMATE_ROWS, order_key=key).first()["chars_per_token"]
     return pack_sequences(
         raw, tok, options.max_seq_length,
         shuffle_seed=options.seed if options.shuffle_packed else None,
-        num_sequences=options.num_sequences, chars_per_token=ratio, order_key=key, shards=options.shards,
+        num_sequences=options.num_sequences, chars_per_token=ratio, order_key=key, shards=options.shards, texts=texts, text_key=text_key,
     )
 
 

@@ -1,3 +1,4 @@
+import os
 import random
 
 import models
@@ -5,12 +6,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lmprep.cluster import ensure_checkpoint_dir
 from lmprep.functions.tokenizers import CodepointTokenizer
 from lmprep.operators import packing, wide_buffers
+from lmprep.operators.mixing import mix_sources
 from lmprep.sources import readers
 from lmprep.operators.packing import (
     chars_per_token, pack_documents, pack_sequences, steps_of_documents, then,
 )
+from lmprep.plans.datasets import DatasetOptions, build_dataset
 
 TOK = CodepointTokenizer()
 
@@ -185,3 +189,39 @@ def test_texts_and_not_ids_are_sent_to_their_chunks(spark, monkeypatch):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     moved = next(line for line in plan.splitlines() if "RepartitionByExpression" in line)
     assert "_group" in moved and "_text" in plan[plan.index(moved) :].splitlines()[2]
+
+
+@pytest.mark.parametrize("copied", [64, 2])
+def test_texts_are_taken_by_key_as_often_as_drawn(spark, monkeypatch, copied):
+    """Documents that name their text give the chunks of documents that hold it; texts of many documents are copied."""
+    monkeypatch.setattr(packing, "COPIED", copied)
+    texts = [(s, i, s * (i * 23 % 70) if i != 4 else None) for s in "ab" for i in range(7)] + [("a", 7, "z" * 700)]
+    rng = random.Random(4)
+    steps = [(step, *(texts[0] if step % 3 == 0 else rng.choice(texts))) for step in range(90)]
+    held = spark.createDataFrame(steps, "step long, source string, doc_id long, text string")
+    named = held.drop("text").union(spark.createDataFrame([(90, "c", 1)], "step long, source string, doc_id long"))
+    options = dict(order_key="step", num_sequences=7, chars_per_token=1.0, block_rows=11)
+    want = pack_documents(held, TOK, 8, **options)
+    given = spark.createDataFrame(texts, "source string, doc_id long, text string")
+    got = pack_documents(named.repartition(3), TOK, 8, texts=given, text_key=["source", "doc_id"], **options)
+    assert collected(got.chunks) == collected(want.chunks) and got.chunks.count() == want.chunks.count() > 50
+    missing = {r.step for r in want.rejected.collect()}
+    assert {r.step for r in got.rejected.collect()} == {*missing, 90} and got.counts["null_texts"] == len(missing) + 1
+
+
+def test_mixed_texts_move_once_and_are_not_stored(spark, tmp_path):
+    """Corpora that are drawn more than once: only keys and lengths are written, and a text is shuffled to meet its draws before it is doubled."""
+    rows = [(i, chr(97 + i % 26) * (20 + i % 50), "en" if i % 4 else "de") for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "corpus"))
+    spec = ",".join(f"{tmp_path}/corpus:{x}" for x in ("de", "en"))
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    chunks = build_dataset(spark, "culturax", spec, TOK, DatasetOptions(16, num_sequences=8, interleave_probs="0.6,0.4", seed=5))
+    (new,) = (x for x in set(os.listdir(folder)) - before if x.startswith("stored"))
+    assert sorted(spark.read.parquet(f"{folder}/{new}").columns) == ["doc_id", "source", "step"]
+    corpora = readers.scan_raw_text(spark, spec)
+    mixed = mix_sources(corpora, "doc_id", "0.6,0.4", 5).orderBy("step").collect()
+    assert len(mixed) > 1.5 * len(rows)
+    texts = [r.text for r in mixed]
+    ratio = sum(map(len, texts[:500])) / sum(len(t) + 1 for t in texts[:500])
+    assert collected(chunks) == models.chunks(texts, 16, 16 * ratio * 8)
