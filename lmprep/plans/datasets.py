@@ -80,12 +80,12 @@ def _raw_text(spark, spec, tok, options, split) -> DataFrame:
         (raw,) = corpora.values()
         estimated, texts, text_key = raw, None, ()
     else:
-        # keys are mixed and written in step order; the estimate takes the texts of the first steps, packing the lengths of all and
-        # then the texts, each of which moves once however often it is drawn
+        # texts are written once each, keys are mixed and written in step order; the estimate takes the texts of the first steps,
+        # packing the lengths of all and then the texts, each of which moves once however often it is drawn
         keys = {name: rows.select(key) for name, rows in corpora.items()}
         mixed = mix_sources(keys, key, options.interleave_probs, options.seed, options.stopping_strategy)
         raw = stored(mixed.select("step", "source", key).sortWithinPartitions("step"))
-        texts, text_key, key = combine_sources(corpora), ["source", key], "step"
+        texts, text_key, key = stored(combine_sources(corpora), "zstd"), ["source", key], "step"
         estimated = texts.join(F.broadcast(head(raw, ESTIMATE_ROWS, key)), text_key)
     ratio = chars_per_token(estimated, tok, ESTIMATE_ROWS, order_key=key).first()["chars_per_token"]
     return pack_sequences(

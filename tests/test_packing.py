@@ -209,19 +209,21 @@ def test_texts_are_taken_by_key_as_often_as_drawn(spark, monkeypatch, copied):
     assert {r.step for r in got.rejected.collect()} == {*missing, 90} and got.counts["null_texts"] == len(missing) + 1
 
 
-def test_mixed_texts_move_once_and_are_not_stored(spark, tmp_path):
-    """Corpora that are drawn more than once: only keys and lengths are written, and a text is shuffled to meet its draws before it is doubled."""
+def test_mixed_texts_are_stored_once_however_often_drawn(spark, tmp_path):
+    """Corpora that are drawn more than once: keys are mixed, and each text is stored as often as it is there."""
     rows = [(i, chr(97 + i % 26) * (20 + i % 50), "en" if i % 4 else "de") for i in range(120)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "corpus"))
     spec = ",".join(f"{tmp_path}/corpus:{x}" for x in ("de", "en"))
     folder = ensure_checkpoint_dir(spark).removeprefix("file:")
     before = set(os.listdir(folder))
     chunks = build_dataset(spark, "culturax", spec, TOK, DatasetOptions(16, num_sequences=8, interleave_probs="0.6,0.4", seed=5))
-    (new,) = (x for x in set(os.listdir(folder)) - before if x.startswith("stored"))
-    assert sorted(spark.read.parquet(f"{folder}/{new}").columns) == ["doc_id", "source", "step"]
+    new = [spark.read.parquet(f"{folder}/{x}") for x in set(os.listdir(folder)) - before if x.startswith("stored")]
+    mix, texts = sorted(new, key=lambda x: "text" in x.columns)
+    assert sorted(mix.columns) == ["doc_id", "source", "step"] and mix.count() > 1.5 * len(rows)
+    assert texts.count() == len(rows) and len(new) == 2
     corpora = readers.scan_raw_text(spark, spec)
     mixed = mix_sources(corpora, "doc_id", "0.6,0.4", 5).orderBy("step").collect()
-    assert len(mixed) > 1.5 * len(rows)
+    assert len(mixed) == mix.count()
     texts = [r.text for r in mixed]
     ratio = sum(map(len, texts[:500])) / sum(len(t) + 1 for t in texts[:500])
     assert collected(chunks) == models.chunks(texts, 16, 16 * ratio * 8)
